@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, sharding, simhash
-from .common import table
+from . import ann, htmltext, langid, licenses, mixing, phrases, sharding, simhash, toxicity
+from .common import remainder, table
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 2_000_000
@@ -65,13 +65,40 @@ from x join t using (depth, head) group by doc_id, bytes
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("id", 5) != 0)
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder("id", 3) != 1)
+    return langid.identify(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its licenses and notices; none for most."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.expr("transform(notices, n -> n.license)")))
+    return found.select(F.col("id").alias("doc_id"), F.size("notices").alias("n_notices"), names.alias("licenses"), "notices")
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, limit=2)
     return groups.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rotated_code_search, op2_pareto_mix, op3_extendible_shards, op8_simhash_groups)}
+    return {f.__name__: f for f in (op1_rotated_code_search, op2_pareto_mix, op3_extendible_shards, op4_toxicity, op5_language, op6_main_text, op7_license_scan, op8_simhash_groups, op9_phrase_fingerprints)}
 
 
 #: Nearest neighbours by brute force; a recall of 1 makes the rows equal.
