@@ -23,6 +23,8 @@ from .components import connected_components
 FANOUT = 8
 #: Fingerprints of a part of the index; bounds what a task holds.
 PART_ROWS = 16_384
+#: Parts at least, so that a fingerprint's visits per part don't depend on a small table's size.
+PARTS = 32
 #: Pairs of query and node that are looked at together.
 FRONTIER = 2_000_000
 
@@ -178,7 +180,7 @@ def hamming_links(fps: DataFrame, limit: int = 2, part_rows: int = PART_ROWS) ->
     prepare(spark)
     ranked = fps.select("fp", gray_rank(F.col("fp")).alias("rank"))
     n = ranked.count()
-    parts = max(1, -(-n // part_rows))
+    parts = max(PARTS if n > PARTS else 1, -(-n // part_rows))
     bounds = sorted(set(ranked.select(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 100 * parts).alias("b")).first()["b"] or [])) if parts > 1 else []
     cuts = np.array(bounds, np.int64)
 
