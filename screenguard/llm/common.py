@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,6 +29,28 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="screenguard-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts the lineage, and is smaller than a checkpoint.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        try:
+            files.delete(place, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            pass
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -35,40 +35,42 @@ def _letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
-def subwords(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, its text's number, whether each text has a letter), whole texts."""
+def subwords(texts: list[str], buckets: int = BUCKETS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each n the buckets of all n-grams, text after text, and where each text's begin and end; whether each text has a letter."""
     low = [t.lower() for t in texts]
-    code = np.frombuffer(("\0" + "\0".join(low) + "\0\0\0\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _letters()[code]
+    code = _letters()[np.frombuffer(("\0" + "\0".join(low) + "\0\0\0\0").encode("utf-32-le", "surrogatepass"), np.uint32)]
     size = np.fromiter(map(len, low), np.int64, len(low))
-    start = np.cumsum(size + 1) - size
-    space, mixed = code == 0, code * np.uint32(2654435761)
-    any_letter = np.add.reduceat(~space, start - 1) > 0 if len(low) else np.empty(0, bool)
-    got, at = [], []
+    start = np.append(np.cumsum(size + 1) - size, len(code) - 4)
+    letter = code != 0
+    any_letter = np.add.reduceat(letter, start[:-1] - 1, dtype=np.int64) > 0 if len(low) else np.empty(0, bool)
+    mixed, out = code * np.uint32(2654435761), []
+    mixed ^= mixed >> np.uint32(15)
     for n in GRAMS:
         end = len(code) - n + 1
-        good = ~(space[:end] & space[n - 1 :])
+        good = letter[:end] | letter[n - 1 :]
         for i in range(1, n - 1):
-            good &= ~space[i : end + i]
-        if n == 2:
-            good &= ~space[:end] | ~space[1:]
+            good &= letter[i : end + i]
         where = np.flatnonzero(good)
         h = np.full(len(where), n, np.uint32)
         for i in range(n):
-            h = (h ^ mixed[where + i]) * np.uint32(16777619)
-            h ^= h >> np.uint32(15)
-        got.append(h % np.uint32(buckets))
-        at.append(where)
-    text = [np.searchsorted(start - 1, w, side="right") - 1 for w in at]
-    return np.concatenate(got).astype(np.int64), np.concatenate(text), any_letter
+            h ^= mixed[i : end + i][good]
+            h *= np.uint32(16777619)
+        h ^= h >> np.uint32(16)
+        h &= np.uint32(buckets - 1)
+        out.append((h, np.searchsorted(where, start - 1)))
+    return out, any_letter
 
 
 def _per_text(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Mean table row of each text's n-grams; whether it has a letter."""
-    grams, text, any_letter = subwords(texts, len(table))
-    count = np.bincount(text, minlength=len(texts))
-    mean = np.stack([np.bincount(text, weights=table[grams, k], minlength=len(texts)) for k in range(table.shape[1])], 1)
-    return mean / np.maximum(count, 1)[:, None], any_letter
+    grams, any_letter = subwords(texts, len(table))
+    total, count = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
+    for h, edge in grams:
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        if len(some):
+            total[some] += np.add.reduceat(table[h], edge[some], axis=0, dtype=np.float64)
+            count += np.diff(edge)
+    return total / np.maximum(count, 1)[:, None], any_letter
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: l
             bias -= g.sum(0) * 0.1
             emb[uniq] -= back
             done += 1
-    table = (emb @ out).astype(np.float64)
+    table = (emb @ out).astype(np.float32)
     logits = np.stack([(table[i] * s[:, None]).sum(0) for i, s in (rows[k] for k in held)]) + bias
     loss = lambda t: -np.log(np.maximum(1e-12, softmax(logits / t)[np.arange(len(held)), y[held]])).mean()
     temperature = min(np.geomspace(0.25, 8, 41), key=loss)
@@ -145,9 +147,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", 1_000_000):
-            grams, text, _ = subwords(b.column(1).to_pylist())
-            cut = np.searchsorted(text[order := np.argsort(text, kind="stable")], np.arange(b.num_rows + 1))
-            rows = [np.unique(grams[order[s:e]], return_counts=True) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            grams, _ = subwords(b.column(1).to_pylist())
+            rows = [np.unique(np.concatenate([h[e[i] : e[i + 1]] for h, e in grams]), return_counts=True) for i in range(b.num_rows)]
             yield pa.record_batch([b.column(0), b.column(2), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([(r[1] / max(1, r[1].sum())).astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["id", "lang", "bucket", "share"])
 
     kind = d.schema["id"].dataType.simpleString()
@@ -180,3 +181,16 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
             yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(bad)], ["id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language isn't rejected."""
+    prepare(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, text_col, 2_000_000):
+            names, score = model.predict([t or "" for t in b.column(place).to_pylist()])
+            yield b.filter(pa.array([n != "und" and s >= model.threshold for n, s in zip(names, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs.where("false")

@@ -105,3 +105,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = last.union(rest)
     copies = F.col("whole") + (F.col("picked") | F.col("first")).cast("long")
     return out.select("a.doc_id", "a.source", "a.size", "source_size", "target", copies.alias("copies"), (copies * F.col("a.size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    key = ["doc_id", "source", "size"]
+    taken = mix(docs, id_col, text_col, source_col, **how).groupBy(*key).agg(F.sum("copies").alias("c"), F.count("*").alias("n")).alias("t")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")).alias("d")
+    same = rows.join(taken, F.expr(" and ".join(f"d.{k} <=> t.{k}" for k in key))).where("c > 0")
+    # rows that can't be told apart share their copies
+    place = F.row_number().over(W.partitionBy(*[f"d.{k}" for k in key]).orderBy(F.lit(1)))
+    each = F.floor(F.col("c") / F.col("n")) + (place <= F.col("c") % F.col("n")).cast("long")
+    return same.select("row", each.alias("each")).where("each > 0").select("row", F.explode(F.expr("sequence(1L, each)"))).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, langid, licenses, mixing, phrases, sharding, simhash, toxicity
+from . import ann, htmltext, langid, licenses, mixing, phrases, pieces, sharding, simhash, toxicity
 from .common import remainder, table
 
 #: Bytes of text that a shard may hold.
@@ -97,8 +97,12 @@ def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rotated_code_search, op2_pareto_mix, op3_extendible_shards, op4_toxicity, op5_language, op6_main_text, op7_license_scan, op8_simhash_groups, op9_phrase_fingerprints)}
+    return {f.__name__: f for f in (op1_rotated_code_search, op2_pareto_mix, op3_extendible_shards, op4_toxicity, op5_language, op6_main_text, op7_license_scan, op8_simhash_groups, op9_phrase_fingerprints, op10_piece_encoding)}
 
 
 #: Nearest neighbours by brute force; a recall of 1 makes the rows equal.

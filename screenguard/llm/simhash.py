@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, sliced
+from .common import partitions, prepare, sliced, stored
 from .components import connected_components
 
 FANOUT = 8
@@ -257,3 +258,108 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = known.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = known.join(names, "root").select("fp", "component")
     return found.join(by_fp, "fp").select("id", "fp", "component")
+
+
+# ---- near-duplicate texts -------------------------------------------------------------
+
+#: Blocking keys of a text, and minima in each.
+BANDS, MINIMA = 8, 3
+#: Bins of the sketch that confirms a pair; its estimate has a standard error of 0.025 at 0.8.
+BINS = 256
+SLACK = 0.025
+#: Fingerprints of texts alike by 0.8 differ in fewer bits than this; of unrelated texts in more.
+FAR = 20
+_SALTS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """For each of BINS ranges of hashes 16 bits of the least in it; 0 for an empty range."""
+    h = np.sort(h)
+    at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
+    least = h[np.minimum(at, len(h) - 1)] if len(h) else np.zeros(BINS, np.uint64)
+    there = (least >> np.uint64(56) == np.arange(BINS, dtype=np.uint64)) & (at < len(h))
+    return np.where(there, (least >> np.uint64(8)) & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint16).tobytes()
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Estimate of Jaccard's ratio of the two sketched sets."""
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    some = (x | y) != 0
+    return float(((x == y) & some).sum() / some.sum()) if some.any() else 1.0
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """One key of each band, from the least of MINIMA differently mixed hashes."""
+    if not len(h):
+        return list(range(BANDS))
+    least = np.array([(h * s).min() for s in _SALTS]).reshape(BANDS, MINIMA)
+    return [xxhash.xxh64_intdigest(bytes([i]) + row.tobytes()) - (1 << 63) for i, row in enumerate(least)]
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, digest, keep): each row's id and text digest; keep marks the one of the smallest id of each group.
+
+    Equal texts are one class. Classes that share a blocking key are neighbours if one is
+    the key's smallest or they are next to each other in the Gray order of their SimHash
+    fingerprints, so a key's members give links in proportion to their number. A link
+    stands if the fingerprints are near and the sketches put the shingles' Jaccard ratio at
+    ``similarity`` or more, less SLACK. Null texts count as empty; all wordless texts are one group.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            h = [shingle_hashes(t.as_py(), words) for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([majority_bits(x) for x in h], pa.uint64()).view(pa.int64()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([band_keys(x) for x in h], pa.list_(pa.int64()))], ["id", "digest", "fp", "sketch", "bands"])
+
+    rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ids = rows.select("id", "digest")
+    classes = stored(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "digest", "text").mapInArrow(features, f"id {kind}, digest string, fp long, sketch binary, bands array<long>"))
+    keyed = classes.select(F.explode("bands").alias("key"), "digest", "fp", gray_rank(F.col("fp")).alias("rank"))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("digest", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    stars = keyed.join(heads, "key").select(F.col("head.digest").alias("a"), F.col("head.fp").alias("fa"), F.col("digest").alias("b"), F.col("fp").alias("fb"))
+
+    def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = pa.Table.from_batches([*([last] if last else []), b]).combine_chunks()
+            key = both["key"].to_numpy()
+            at = np.flatnonzero(key[1:] == key[:-1])
+            one, two = both.take(pa.array(at)), both.take(pa.array(at + 1))
+            yield from pa.table({"a": one["digest"], "fa": one["fp"], "b": two["digest"], "fb": two["fp"]}).combine_chunks().to_batches()
+            last = b.slice(b.num_rows - 1)
+
+    n = partitions(spark)
+    chains = keyed.repartitionByRange(n, "key", "rank").sortWithinPartitions("key", "rank", "digest").mapInArrow(adjacent, "a string, fa long, b string, fb long")
+    pairs = stars.union(chains).where(f"a <> b and bit_count(fa ^ fb) < {FAR}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(x, y) >= similarity - SLACK for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda k: classes.select(F.col("digest").alias(k), F.col("sketch").alias(f"s{k}"))
+    links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "u string, v string")
+    comp = connected_components(links)
+    grouped = classes.select("digest", "id").join(comp, classes["digest"] == comp["node"], "left").select("digest", "id", F.coalesce("component", "digest").alias("group"))
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("f")).select(F.col("f.id").alias("kept_id"), F.col("f.digest").alias("kept"))
+    return ids.alias("r").join(first.alias("f"), F.expr("r.digest = f.kept and r.id <=> f.kept_id"), "left").select("id", "digest", F.col("kept").isNotNull().alias("keep"))
+
+
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns: one of each group of near-duplicate texts, that of the smallest id."""
+    gone = near_duplicate_classes(docs, id_col, text_col, words, similarity)
+    keep = gone.where("keep").groupBy("id", "digest").agg(F.count("*").alias("times")).alias("k")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")).alias("d")
+    same = rows.join(keep, F.expr("d.id <=> k.id and d.digest = k.digest"))
+    # of rows that are equal in id and text one stays
+    place = F.row_number().over(W.partitionBy("d.id", "d.digest").orderBy(F.lit(1)))
+    return same.select("row", place.alias("place")).where("place = 1").select("row.*")

@@ -17,9 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import prepare, sliced
+from .simhash import shingle_hashes
 
 #: Labelled documents of each class that the sample has on average at most; the bound of the fit.
 TOXIC_ROWS, OTHER_ROWS = 6_000, 8_000
@@ -29,13 +31,15 @@ ENTRIES = 4_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Share of toxic documents, at equal classes, that an entry of each tier has at least.
 TIERS = (0.95, 0.8)
+#: Log likelihood ratio of an entry's counts against chance, at least; a million tokens are tried.
+SURE, STRONG = 13.0, 20.0
 #: Words of the second person in the languages at hand (fixed values).
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro vuestra".split())
 #: Characters that stand for letters in obfuscated words (fixed values).
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 NEAR = 5
 #: Distinct tokens whose analysis a worker keeps.
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _BROKEN = re.compile(r"[^\W\d_][\d@$!|*.\-_#]+[^\W\d_]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
@@ -60,13 +64,21 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: float, other: float) -> L
     scored = []
     for token, a, b in counts:
         p, q = (a + 0.5) / (toxic + 1), (b + 0.5) / (other + 1)
-        sure = (np.log(p) - np.log(q)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         purity = p / (p + q)
-        if a >= 4 and purity >= TIERS[-1] and sure >= 3.3:
-            scored.append((-sure, token, 1 if purity >= TIERS[0] else 2))
+        if a < 4 or purity < TIERS[-1]:
+            continue
+        share = toxic / (toxic + other)
+        chance = a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0)
+        if chance >= SURE:
+            scored.append((-chance, token, 1 if purity >= TIERS[0] and chance >= STRONG else 2, a))
     scored.sort()
-    keep = scored[:ENTRIES]
-    return Lexicon({t: k for _, t, k in keep if t[-1] != "*"}, {t[:-1]: k for _, t, k in keep if t[-1] == "*"})
+    longer: dict[str, int] = {}  # of a beginning: the most documents that a longer entry explains
+    for _, t, _, a in scored:
+        for n in BEGINNINGS:
+            if n < len(t.rstrip("*")):
+                longer[t[:n]] = max(longer.get(t[:n], 0), a)
+    keep = [x for x in scored if x[1][-1] != "*" or longer.get(x[1][:-1], 0) < 0.9 * x[3]][:ENTRIES]
+    return Lexicon({t: k for _, t, k, _ in keep if t[-1] != "*"}, {t[:-1]: k for _, t, k, _ in keep if t[-1] == "*"})
 
 
 def tokens_of(text: str) -> set[str]:
@@ -74,38 +86,50 @@ def tokens_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
 
 
+def likeness_keys(text: str, keys: int = 3) -> list[int]:
+    """The least of each of some hashes of the text's five-word shingles: near copies share most of them."""
+    h = shingle_hashes(text, 5)
+    with np.errstate(over="ignore"):
+        return [int((h * np.uint64(2 * k * 0x9E3779B97F4A7C15 % (1 << 64) + 1)).min() >> np.uint64(1)) if len(h) else 0 for k in range(keys)]
+
+
 class Analyser:
     """Features of whole texts; analyses of tokens are kept, as a bounded table."""
 
     def __init__(self, lex: Lexicon):
-        self.lex, self.place, self.table = lex, {}, np.zeros((1024, 11))
-
-    def _token(self, token: str) -> np.ndarray:
-        words = _WORD.findall(token)
-        low = [w.lower() for w in words]
-        tiers = [self.lex.tier(w) for w in low]
+        self.lex, self.place, self.table = lex, {}, np.zeros((1024, 11), np.float32)
+
+    def _token(self, token: str) -> tuple:
+        low = token.lower()
+        repeated = bool(_REPEATED.search(low))
+        if low == token and token.isalpha():
+            tier = self.lex.tier(low)
+            return (tier == 1, tier == 2, repeated and not tier and self._hidden(low), low in SECOND_PERSON, len(low), 0, 0, 0, 0, 0, repeated)
+        words = _WORD.findall(low)
+        tiers = [self.lex.tier(w) for w in words]
         letters = sum(map(len, words))
-        upper = sum(1 for c in token if c.isupper())
-        broken = bool(_BROKEN.search(token))
-        repeated = bool(_REPEATED.search(token))
-        hidden = 0
-        if (broken or repeated) and not any(tiers):
-            plain = re.sub(r"[^\w]|_", "", token.lower().translate(LOOKALIKE))
-            tries = {plain, re.sub(r"(.)\1+", r"\1", plain)}
-            hidden = int(any(self.lex.tier(w) == 1 for w in tries))
-        punct = sum(1 for c in token if not c.isalnum())
-        return np.array([tiers.count(1), tiers.count(2), hidden, any(w in SECOND_PERSON for w in low), letters, upper, letters > 2 and upper == letters, punct, token.count("!") + token.count("?"), broken, repeated], float)
+        upper = 0 if low == token else sum(map(str.isupper, token))
+        broken = letters < len(token) and bool(_BROKEN.search(low))
+        hidden = (broken or repeated) and not any(tiers) and self._hidden(low)
+        return (tiers.count(1), tiers.count(2), hidden, not SECOND_PERSON.isdisjoint(words), letters, upper, letters > 2 and upper == letters, len(token) - letters, token.count("!") + token.count("?"), broken, repeated)
+
+    def _hidden(self, low: str) -> bool:
+        """Whether the word is a strong one once look-alikes, signs and repeats are undone."""
+        plain = re.sub(r"[^\w]|_", "", low.translate(LOOKALIKE))
+        return any(self.lex.tier(w) == 1 for w in (plain, re.sub(r"(.)\1+", r"\1", plain)))
 
     def _places(self, tokens: list[str]) -> np.ndarray:
         if len(self.place) > KEPT_TOKENS:
-            self.place, self.table = {}, np.zeros((1024, 11))
+            self.place, self.table = {}, np.zeros((1024, 11), np.float32)
         place = self.place
-        for t in tokens:
-            if t not in place:
-                if len(place) == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[len(place)] = self._token(t)
-                place[t] = len(place)
+        new = list(set(tokens).difference(place))
+        if new:
+            at = len(place)
+            if at + len(new) > len(self.table):
+                more = np.zeros((max(len(self.table), len(new)), 11), np.float32)
+                self.table = np.concatenate([self.table, more])
+            self.table[at : at + len(new)] = [self._token(t) for t in new]
+            place.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
 
     def features(self, text: str | None) -> np.ndarray:
@@ -114,7 +138,7 @@ class Analyser:
             return np.zeros(len(FEATURES))
         places = self._places(tokens)
         each = self.table[places]
-        s, n = each.sum(0), len(tokens)
+        s, n = each.sum(0, dtype=np.float64), len(tokens)
         near = 0
         if (s[0] or s[2]) and s[3]:
             hit, you = np.flatnonzero(each[:, 0] + each[:, 2]), np.flatnonzero(each[:, 3])
@@ -209,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     Each class is sampled by a hash of the id, at a rate that gives the stated rows on
     average, or taken whole if it has fewer. Only the sample's ids are broadcast; the
     driver gets counts of at most ENTRIES x 50 tokens and a row of features a document.
-    A document with labels that differ counts as toxic.
+    A document with labels that differ counts as toxic. Of near copies in the sample only
+    the one of the smallest id is learnt from.
     """
     prepare(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y")).where(learn)
@@ -222,6 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     marks = marks.where(near).withColumn("fold", fold)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(marks), "id").select("id", "text", "y", "fold").checkpoint()
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            yield pa.record_batch([b.column(0), pa.array([likeness_keys(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "k"])
+
+    # of copies and near copies one stays: else the words of a copied text look like a lexicon
+    keys = rows.mapInArrow(keyed, f"id {kind}, k array<long>").select("id", *[F.col("k")[i].alias(f"k{i}") for i in range(3)])
+    first = keys.select("id", F.greatest(*[F.min("id").over(W.partitionBy(f"k{i}")) != F.col("id") for i in range(3)]).alias("copy")).where("not copy")
+    rows = rows.join(F.broadcast(first), "id", "left_semi").checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
@@ -261,7 +296,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             x = [each[f].features(t) for t, f in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(features, f"id {kind}, y int, x array<double>").toArrow().sort_by("id")
     x, y = np.array(got["x"].to_pylist()), np.array(got["y"].to_pylist(), float)
     calibrate = np.random.default_rng(11).random(len(y)) < 0.25 if len(y) >= 200 else np.ones(len(y), bool)
@@ -287,3 +321,16 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
             yield pa.record_batch([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't predicted toxic; all rows without a model."""
+    prepare(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyser = Analyser(model.lexicon)
+        for b in sliced(batches, text_col):
+            yield b.filter(pa.array(model.score(np.stack([analyser.features(t) for t in b.column(place).to_pylist()])) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs
