@@ -126,7 +126,8 @@ def blur_frames(frames: DataFrame, regions: DataFrame) -> DataFrame:
     keys = ["stream_id", "frame_idx"]
     boxes = regions.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("y", "x", "h", "w"))).alias("boxes"))
     both = frames.join(boxes, keys, "left").select(*frames.columns, "boxes")
-    at = [frames.columns.index(c) for c in ("width", "height", "bgra")]
+    names = frames.columns
+    at = [names.index(c) for c in ("width", "height", "bgra")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,6 +136,6 @@ def blur_frames(frames: DataFrame, regions: DataFrame) -> DataFrame:
                 out.append(blurred(image(data, w, h), [(r["x"], r["y"], r["w"], r["h"]) for r in found]).tobytes() if found else data)
             cols = list(b.columns[:-1])
             cols[at[2]] = pa.array(out, pa.binary())
-            yield pa.record_batch(cols, frames.columns)
+            yield pa.record_batch(cols, names)
 
     return both.mapInArrow(run, frames.schema)
