@@ -40,7 +40,7 @@ def subwords(texts: list[str], buckets: int = BUCKETS) -> tuple[list[tuple[np.nd
     low = [t.lower() for t in texts]
     code = _letters()[np.frombuffer(("\0" + "\0".join(low) + "\0\0\0\0").encode("utf-32-le", "surrogatepass"), np.uint32)]
     size = np.fromiter(map(len, low), np.int64, len(low))
-    start = np.append(np.cumsum(size + 1) - size, len(code) - 4)
+    start = np.append(np.cumsum(size + 1) - size, len(code) - 3)
     letter = code != 0
     any_letter = np.add.reduceat(letter, start[:-1] - 1, dtype=np.int64) > 0 if len(low) else np.empty(0, bool)
     mixed, out = code * np.uint32(2654435761), []
