@@ -184,7 +184,7 @@ ORACLE: dict[str, str] = {
     "f11_search_terms": "select p_partkey, replace(url_encode(p_name || ' & ' || p_type), '%2F', '/') as term from part",
     "f12_env_lines": f"select event_id, {ENV} as line from events",
     "f13_seed_words": f"select event_id, array_to_string([{', '.join(f'w[{_BYTE(2 * i + 1)} % 50 + 1]' for i in range(12))}], ' ') as phrase from (select event_id, [{_list(SAMPLE[:50])}] as w from events)",
-    "f14_terminal_lines": f"select event_id, concat('$env:', replace(text, '=', ' = '''), '''') as line from {fx('planted_text')} where event_id % 16 = 6",
+    "f14_terminal_lines": f"select event_id, concat('$env:', replace(text, '=', ' = '''), '''') as line from {fx('planted_text')} where contains(text, '=')",
     "q02_luma": "select event_id, ((299 * (event_id * 7 % 256) + 587 * (event_id * 13 % 256) + 114 * (event_id * 31 % 256)) // 1000)::int as y from events",
     "q03_corner_boxes": f"select qr_id, {Q_BOX} from {fx('qr_payloads')}",
     "q04_payload_kinds": f"select qr_id, kind, kind <> 'Unknown' as sensitive from {Q_ROWS}",
