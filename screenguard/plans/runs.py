@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.detect import scan
-from ..functions.geometry import blur_region
+from ..functions.geometry import blur_region, preview_size
 from ..functions.qr import corners_box, payload_kind, payload_sensitive
-from ..operators import framediff, rows, sticky
+from ..operators import framediff, rows, series, sticky
 from ..operators.pixels import blur_frames
 
 KEYS = ["stream_id", "frame_idx"]
@@ -51,3 +52,21 @@ def record(frames: DataFrame, cells: DataFrame, lines: DataFrame, codes: DataFra
 def blur(frames: DataFrame, regions: DataFrame) -> DataFrame:
     """The frames with their regions blurred."""
     return blur_frames(frames, regions)
+
+
+def preview(frames: DataFrame, most: int = 1280) -> DataFrame:
+    """Frames with the size of their preview."""
+    return frames.withColumn("s", preview_size(F.col("width"), F.col("height"), most)).select(*frames.columns, F.col("s.w").alias("preview_w"), F.col("s.h").alias("preview_h"))
+
+
+def collect(keys: DataFrame, label: str) -> DataFrame:
+    """Frames (stream_id, frame_idx, captured_at, down) at which the key goes down, with the name of the file to save."""
+    order = W.partitionBy("stream_id").orderBy("frame_idx")
+    edges = keys.withColumn("edge", series.pressed(F.col("down"), order)).where("edge")
+    return edges.select(*KEYS, series.saved_name(F.lit(label), F.col("captured_at")).alias("name"))
+
+
+def summary(log: DataFrame, hits: DataFrame) -> DataFrame:
+    """Frames, recognised, skipped and hits of each stream of a recorded session."""
+    counts = hits.groupBy(*KEYS).agg(F.count("*").alias("hits"))
+    return series.run_summary(log.join(counts, KEYS, "left").fillna(0, ["hits"]))

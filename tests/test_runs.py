@@ -111,6 +111,7 @@ def test_recorded_run(spark):
     out = runs.record(frames, grid, lines, codes, words.SAMPLE, every=1, threshold=0.5)
     assert [r["should_ocr"] for r in out["log"].orderBy("frame_idx").collect()] == [True, False, False, True, False, False]
     assert sorted((r["frame_idx"], r["kind"]) for r in out["hits"].collect()) == [(0, "AwsAccessKey"), (3, "AwsAccessKey"), (3, "SeedPhrase")]
+    assert [tuple(r) for r in runs.summary(out["log"], out["hits"]).collect()] == [(0, 6, 2, 4, 3)]
     done = {r["frame_idx"]: r["bgra"] for r in runs.blur(frames, out["regions"]).collect()}
     assert len(done) == 6 and all(bytes(done[f]) != picture(64, 48, f).tobytes() for f in done)
 
@@ -144,3 +145,17 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "img" / "a.png").write_bytes(b"2")
     (tmp_path / "img" / "c.txt").write_bytes(b"3")
     assert [r["stem"] for r in readers.images(spark, str(tmp_path / "img")).collect()] == ["a", "b"]
+
+
+def test_run_options(spark):
+    from screenguard.plans.config import RunConfig
+
+    c = RunConfig(record_seconds=3)
+    assert (c.mode, c.frames, c.trigger, RunConfig().mode, RunConfig(preview=True).mode, RunConfig(preview=True, collect="x").mode) == ("record", 30, "100 milliseconds", "single", "preview", "collect")
+    for bad in ({"fps": 0}, {"ocr_every": 0}, {"record_seconds": -1}):
+        with pytest.raises(ValueError):
+            RunConfig(**bad)
+    keys = spark.sql("select 0L as stream_id, id as frame_idx, timestamp_millis(1000 + id) as captured_at, id in (1, 2, 4) as down from range(6)")
+    assert sorted(r["name"] for r in runs.collect(keys, "popup").collect()) == ["popup_1001.png", "popup_1004.png"]
+    sizes = spark.createDataFrame([(1920, 1080), (800, 600)], "width int, height int")
+    assert {(r["preview_w"], r["preview_h"]) for r in runs.preview(sizes).collect()} == {(1280, 720), (800, 600)}
