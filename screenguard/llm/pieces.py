@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, sliced, stored
+from .common import partitions, prepare, release, sliced, stored
 
 SPACE = "▁"
 #: Numerals that count as word characters but don't join letters (fixed values).
@@ -36,7 +36,12 @@ UNIT = re.compile(f"{SPACE}*(?:[^\\W\\d_{_NUMERALS}]+|(?:(?!{SPACE})[\\W\\d_{_NU
 LONG = 64
 #: Units of the broadcast dictionary at most, the most frequent; the others are joined.
 FREQUENT = 200_000
+#: Distinct units that a task counts before it hands them on.
+HELD = 300_000
+#: Bytes of texts that are cut into units together.
+PORTION = 1_000_000
 UNKNOWN_PENALTY = 10.0
+_PLACES = np.random.default_rng(29).integers(1 << 62, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass
@@ -94,9 +99,71 @@ def units(text: str | None) -> list[str]:
     return UNIT.findall(normalise(text)) if text else []
 
 
-def decode(ids: np.ndarray, by_id: list[bytes]) -> str:
-    """The text of the ids; bytes that aren't UTF-8 become replacement characters."""
-    return b"".join(map(by_id.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point 0 for the space sign, 1 for letters, 2 for others: what UNIT tells apart."""
+    text = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    kind = np.full(0x110000, 2, np.uint8)
+    for m in re.finditer(f"[^\\W\\d_{_NUMERALS}]+", text):
+        kind[ord(m[0][0]) : ord(m[0][0]) + 1] = 1
+        kind[np.frombuffer(m[0].encode("utf-32-le"), np.uint32)] = 1
+    kind[ord(SPACE)] = 0
+    return kind
+
+
+def hashes(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of code points."""
+    place = np.arange(len(code), dtype=np.int32)
+    place -= np.repeat(start.astype(np.int32), size)
+    place &= len(_PLACES) - 1
+    h = np.add.reduceat(_PLACES[place] * (code.astype(np.uint64) + np.uint64(1)), start) + size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _PLACES[0]
+    return h ^ (h >> np.uint64(29))
+
+
+class Units:
+    """The units of some texts, as arrays: start, size, hash, and where each text's begin."""
+
+    def __init__(self, texts: list[str | None]):
+        norm = [normalise(t) if t else "" for t in texts]
+        self.joined = "".join(norm)
+        self.length = np.fromiter(map(len, norm), np.int64, len(norm))
+        code = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[code]
+        new = np.empty(len(code), bool)
+        new[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        at = np.cumsum(self.length) - self.length
+        new[at[self.length > 0]] = True
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(self.start, append=len(code))
+        self.hash = hashes(code, self.start, self.size) if len(code) else np.empty(0, np.uint64)
+        self.first = np.searchsorted(self.start, np.append(at, len(code)))
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        text = self.joined
+        return [text[s : s + n] for s, n in zip(self.start[which].tolist(), self.size[which].tolist(), strict=True)]
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class Decoder:
+    """Bytes of ids, copied out of one flat array."""
+
+    def __init__(self, by_id: list[bytes]):
+        self.size = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        return self.flat[runs(self.start[ids], self.size[ids])].tobytes()
+
+    def text(self, ids: np.ndarray) -> str:
+        """The text of the ids; bytes that aren't UTF-8 become replacement characters."""
+        return self.raw(ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 def fold(unit: str, table: dict[str, tuple[int, float]], longest: int, model: tuple[int, int, float]) -> list[int]:
@@ -139,15 +206,19 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             keys = sorted(sums)
-            return pa.record_batch([pa.array(keys, pa.string()), pa.array([sums[k] for k in keys], pa.int64())], ["unit", "n"])
-
-        for b in sliced(batches, "text"):
-            for t in b.column(0).to_pylist():
-                sums.update(units(t))
-            if len(sums) > 600_000:
+            found = pa.record_batch([pa.array(keys, pa.string()), pa.array([sums[k] for k in keys], pa.int64())], ["unit", "n"])
+            sums.clear()
+            return found
+
+        for b in sliced(batches, "text", 2 * PORTION):
+            cut = Units(b.column(0).to_pylist())
+            _, first, count = np.unique(cut.hash, return_index=True, return_counts=True)
+            for u, n in zip(cut.strings(first), count.tolist(), strict=True):
+                sums[u] += n
+            if len(sums) > HELD:
                 yield out()
-                sums.clear()
         yield out()
+        release()
 
     spark = docs.sparkSession
     raw = docs.select("text").mapInArrow(run, "unit string, n long").where(F.length("unit") <= LONG)
@@ -198,13 +269,24 @@ def segment(found: DataFrame, model: PieceModel) -> DataFrame:
 # ---- texts ----------------------------------------------------------------------------
 
 
-@cache
-def _dictionary(broadcast) -> dict[str, bytes]:
-    """A worker's copy of the frequent units' ids, as int32 bytes."""
-    got = pa.ipc.open_stream(broadcast.value).read_all()
-    keys, ids = got["unit"].to_pylist(), got["ids"].combine_chunks()
-    flat, edge = ids.values.to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy() * 4
-    return {k: flat[s:e] for k, s, e in zip(keys, edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+class Dictionary:
+    """Ids of the frequent units by hash, in sorted arrays."""
+
+    def __init__(self, names: list[str], ids: list[np.ndarray]):
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = hashes(code, np.cumsum(size) - size, size) if len(code) else np.empty(0, np.uint64)
+        order = np.argsort(h)
+        n = np.fromiter((len(ids[i]) for i in order), np.int64, len(ids))
+        self.hash, self.size, self.start = h[order], n, np.cumsum(n) - n
+        self.flat = np.concatenate([np.asarray(ids[i], np.int32) for i in order] or [np.empty(0, np.int32)]).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 for one that isn't there."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, at, -1)
 
 
 def _frequent(spark: SparkSession, coded: DataFrame, most: int):
@@ -216,10 +298,8 @@ def _frequent(spark: SparkSession, coded: DataFrame, most: int):
             break
         total, least = total + r["c"], r["n"]
     got = coded.where(F.col("n") >= (least if least is not None else 1 << 62)).select("unit", "ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as w:
-        w.write_table(got)
-    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), least is not None and least == sizes[-1]["n"] or not sizes
+    found = Dictionary(got["unit"].to_pylist(), [x.values.to_numpy() for x in got["ids"]])
+    return spark.sparkContext.broadcast(found), least is not None and least == sizes[-1]["n"] or not sizes
 
 
 def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -242,41 +322,55 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text the units that must be joined."""
-        known = _dictionary(common)
-        for b in sliced(batches, "text"):
-            some = [[u for u in set(units(t)).difference(known) if len(u) <= LONG] for t in b.column(1).to_pylist()]
+        known = common.value
+        for b in sliced(batches, "text", PORTION):
+            cut = Units(b.column(1).to_pylist())
+            which = np.flatnonzero((known.find(cut.hash) < 0) & (cut.size <= LONG))
+            names, edge = cut.strings(which), np.searchsorted(which, cut.first)
+            some = [list(set(names[s:e])) for s, e in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.record_batch([b.column(0), pa.array(some, pa.list_(pa.string()))], ["key", "units"])
+        release()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in sliced(batches, "text"):
             raw = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["key", "id", "packed"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, short, flat = _dictionary(common), table.value, zstandard.ZstdDecompressor()
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                out, same = [], []
-                rest = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
-                for t, more in zip(part.column(1).to_pylist(), rest, strict=True):
-                    t = flat.decompress(t).decode("utf-8", "surrogatepass") if isinstance(t, bytes) else t
-                    own = {x["unit"]: np.array(x["ids"], np.int32).tobytes() for x in more or ()}
-                    got = units(t)
-                    try:
-                        raw = b"".join(map(known.__getitem__, got))
-                    except KeyError:
-                        for u in got:
-                            if len(u) > LONG and u not in own:
-                                own[u] = np.array(fold(u, short, longest, rule), np.int32).tobytes()
-                        raw = b"".join([known[u] if u in known else own[u] for u in got])
-                    ids = np.frombuffer(raw, np.int32)
-                    out.append(ids)
-                    same.append(decode(ids, by_id) == (t or ""))
-                n = np.fromiter(map(len, out), np.int64, len(out))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(out)))
-                yield pa.record_batch([part.column(0), pa.array(n), lists, pa.array(same)], ["id", "n_tokens", "ids", "roundtrip"])
+        known, short, flat, back = common.value, table.value, zstandard.ZstdDecompressor(), Decoder(by_id)
+        for big in batches:
+            for i in range(0, big.num_rows, 200):
+                b = big.slice(i, 200)
+                got = [flat.decompress(t).decode("utf-8", "surrogatepass") if isinstance(t, bytes) else t or "" for t in b.column(1).to_pylist()]
+                cut = Units(got)
+                at = known.find(cut.hash)
+                missing = np.flatnonzero(at < 0)
+                names, edge = cut.strings(missing), np.searchsorted(missing, cut.first)
+                rest = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+                extra = []  # ids of the units that the dictionary lacks, in order
+                for s, e, answers in zip(edge[:-1], edge[1:], rest, strict=True):
+                    own = {}
+                    for x in answers or ():
+                        u, _, ids = x.rpartition("\t")
+                        own[u] = ids.split(" ")
+                    for u in names[s:e]:
+                        if len(u) > LONG and u not in own:
+                            own[u] = fold(u, short, longest, rule)
+                        extra.append(own[u])
+                more = np.fromiter(map(len, extra), np.int64, len(extra))
+                start, size = known.start[at] if len(known.start) else np.zeros(len(at), np.int64), known.size[at] if len(known.size) else np.zeros(len(at), np.int64)
+                start[missing], size[missing] = len(known.flat) + np.cumsum(more) - more, more
+                pool = np.concatenate([known.flat, np.array([i for x in extra for i in x], np.int32)]) if extra else known.flat
+                ids = pool[runs(start, size)]
+                total = np.append(0, np.cumsum(size))[cut.first]  # of ids before each text
+                raw = back.raw(ids)
+                if raw == cut.joined.encode("utf-8", "surrogatepass"):
+                    same = [SPACE not in t for t in got]
+                else:
+                    same = [back.text(ids[s:e]) == t for s, e, t in zip(total[:-1], total[1:], got, strict=True)]
+                yield pa.record_batch([b.column(0), pa.array(np.diff(total)), pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids)), pa.array(same)], ["id", "n_tokens", "ids", "roundtrip"])
+        release()
 
     schema = f"id {kind}, n_tokens long, ids array<int>, roundtrip boolean"
     if whole:
@@ -284,6 +378,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
     # rows of one key share their joined units, which does no harm
     keyed = d.select(F.xxhash64("id", "text").alias("key"), "id", "text")
     asked = keyed.select("key", "text").mapInArrow(rare, "key long, units array<string>").select("key", F.explode("units").alias("unit"))
-    answers = asked.join(coded.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
+    answer = F.concat("unit", F.lit("\t"), F.array_join("ids", " ")).alias("answer")  # shorter than a struct
+    answers = asked.join(coded.select("unit", answer), "unit").groupBy("key").agg(F.collect_set("answer").alias("own"))
     held = keyed.mapInArrow(packed, f"key long, id {kind}, packed binary")
     return held.join(answers, "key", "left").select("id", "packed", "own").mapInArrow(texts, schema)
