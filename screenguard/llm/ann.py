@@ -38,16 +38,26 @@ def encode(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.packbits(o > 0, axis=1), norm, np.abs(o).sum(1) / np.sqrt(x.shape[1])
 
 
-def estimate(codes: np.ndarray, norm: np.ndarray, cosine: np.ndarray, q: np.ndarray, rot: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries by vectors) and their error bounds."""
-    dim = q.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32)
-    signs *= 2
-    signs -= 1
-    est = (q @ rot).astype(np.float32) @ signs.T
-    est *= (norm / cosine / np.sqrt(dim)).astype(np.float32)
-    spread = norm * np.sqrt(np.maximum(0, 1 - cosine**2)) / cosine * width / np.sqrt(max(1, dim - 1))
-    return est, (np.linalg.norm(q, axis=1)[:, None] * spread[None, :]).astype(np.float32)
+class Block:
+    """A block of vectors with their codes, ready for queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rot: np.ndarray, width: float):
+        codes, norm, cosine = encode(x, rot)
+        dim = x.shape[1]
+        self.ids, self.x, self.rot, self.single = ids, x, rot, x.astype(np.float32)
+        self.signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32)
+        self.signs *= 2
+        self.signs -= 1
+        self.signs *= (norm / cosine / np.sqrt(dim)).astype(np.float32)[:, None]
+        self.spread = (norm * np.sqrt(np.maximum(0, 1 - cosine**2)) / cosine * width / np.sqrt(max(1, dim - 1))).astype(np.float32)
+
+    def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products (queries by vectors), and for each query what its error bounds scale by."""
+        return (q @ self.rot).astype(np.float32) @ self.signs.T, np.linalg.norm(q, axis=1).astype(np.float32)
+
+    def rough(self, q: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Inner products of the original vectors in single precision."""
+        return np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 65_536]], self.single[at[i : i + 65_536]]) for i in range(0, len(row), 65_536)] or [np.empty(0, np.float32)])
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,24 +72,38 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, code: tuple, qid: np.ndarray, q: np.ndarray, rot: np.ndarray, k: int, width: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query id, vector id, score): each query's k best of this block."""
-    for i in range(0, len(q), 128):
-        who, part = qid[i : i + 128], q[i : i + 128]
-        est, err = estimate(*code, part, rot, width)
+def search_block(block: Block, qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query id, vector id, score): each query's k best of this block.
+
+    Reranking is in single precision first; what comes within its rounding of the k-th best
+    is computed exactly.
+    """
+    ids = block.ids
+    for i in range(0, len(q), 64):
+        who, part = qid[i : i + 64], q[i : i + 64]
+        single = part.astype(np.float32)
+        est, norm = block.estimate(part)
         est[who[:, None] == ids[None, :]] = -np.inf
+        slack = 1e-5 * norm * np.linalg.norm(block.single, axis=1).max(initial=0)
         n = min(k + 1, len(ids))
         top = np.argpartition(-est, n - 1, axis=1)[:, :n]
         row = np.repeat(np.arange(len(part)), n)
-        first = np.where(np.isinf(est[row, top.ravel()]), -np.inf, exact(part[row], x[top.ravel()])).reshape(len(part), n)
-        floor = np.sort(first, axis=1)[:, ::-1][:, k - 1] if n >= k else np.full(len(part), -np.inf)
-        slack = 1e-5 * (1 + np.abs(floor))  # the estimates are single precision
-        row, at = np.nonzero((est + err >= (floor - slack)[:, None]) & ~np.isinf(est))
-        score = np.concatenate([exact(part[row[j : j + 200_000]], x[at[j : j + 200_000]]) for j in range(0, len(row), 200_000)] or [np.empty(0)])
+        first = np.where(np.isinf(est[row, top.ravel()]), -np.inf, block.rough(single, row, top.ravel())).reshape(len(part), n)
+        floor = np.sort(first, axis=1)[:, ::-1][:, k - 1] - slack if n >= k else np.full(len(part), -np.inf)
+        row, at = np.nonzero((est + norm[:, None] * block.spread[None, :] >= floor[:, None]) & (est > -np.inf))
+        score = block.rough(single, row, at)
         cut = np.searchsorted(row, np.arange(len(part) + 1))
-        keep = [s + _best(score[s:e], ids[at[s:e]], k) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        keep = []
+        for j, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            least = np.partition(score[s:e], e - s - k)[e - s - k] - 2 * slack[j] if e - s > k else -np.inf
+            keep.append(s + np.flatnonzero(score[s:e] >= least))
         keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
-        yield who[row[keep]], ids[at[keep]], score[keep]
+        row, at = row[keep], at[keep]
+        sure = exact(part[row], block.x[at])
+        cut = np.searchsorted(row, np.arange(len(part) + 1))
+        best = [s + _best(sure[s:e], ids[at[s:e]], k) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        best = np.concatenate(best) if best else np.empty(0, np.int64)
+        yield who[row[best]], ids[at[best]], sure[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", width: float = WIDTH, seed: int = 7, block: int = BLOCK) -> DataFrame:
@@ -112,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by cell, vectors before queries."""
-        now, ids, x, code = None, [], [], None
+        now, ids, x, index = None, [], [], None
         for b in batches:
             cell, kind, key = (b.column(i).to_numpy() for i in range(3))
             v = b.column(3).values.to_numpy()[b.column(3).offsets[0].as_py() : b.column(3).offsets[-1].as_py()].reshape(-1, dim)
@@ -121,17 +145,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 if s == e:
                     continue
                 if cell[s] != now:
-                    now, ids, x, code = cell[s], [], [], None
+                    now, ids, x, index = cell[s], [], [], None
                 if kind[s] == 0:
                     ids.append(key[s:e].copy())
                     x.append(v[s:e].copy())
                     continue
                 if not ids:
                     continue
-                if code is None:
-                    ids, x = [np.concatenate(ids)], [np.concatenate(x)]
-                    code = encode(x[0], rot)
-                for who, at, score in search_block(ids[0], x[0], code, key[s:e], v[s:e], rot, k, width):
+                if index is None:
+                    index = Block(np.concatenate(ids), np.concatenate(x), rot, width)
+                for who, at, score in search_block(index, key[s:e], v[s:e], k):
                     yield pa.record_batch([pa.array(who), pa.array(at), pa.array(score)], ["query_id", "vec_id", "score"])
 
     column, row = F.pmod(F.xxhash64("id"), F.lit(columns)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows))
@@ -139,6 +162,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     left = base.select("id", "v", column.alias("c"), grid(rows).alias("r"))
     right = ask.select("id", "v", row.alias("r"), grid(columns).alias("c"))
     both = left.select((F.col("c") * rows + F.col("r")).alias("cell"), F.lit(0).cast("byte").alias("kind"), "id", "v").union(right.select((F.col("c") * rows + F.col("r")).alias("cell"), F.lit(1).cast("byte"), "id", "v"))
-    found = both.repartition(min(columns * rows, 4096), "cell").sortWithinPartitions("cell", "kind").mapInArrow(cells, "query_id long, vec_id long, score double")
+    found = both.repartition(min(4 * columns * rows, 4096), "cell").sortWithinPartitions("cell", "kind").mapInArrow(cells, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("all"))
     return merged.select("query_id", F.posexplode(F.slice("all", 1, k)).alias("i", "hit")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))

@@ -70,8 +70,9 @@ def test_error_bounds_hold():
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
     rot = ann.rotation(64)
-    est, err = ann.estimate(*ann.encode(x, rot), q, rot, 3.0)
-    assert (np.abs(est - q @ x.T) <= err).mean() > 0.995 and np.allclose(rot @ rot.T, np.eye(64))
+    block = ann.Block(np.arange(2000), x, rot, 3.0)
+    est, norm = block.estimate(q)
+    assert (np.abs(est - q @ x.T) <= norm[:, None] * block.spread).mean() > 0.995 and np.allclose(rot @ rot.T, np.eye(64))
 
 
 # ---- op2 ------------------------------------------------------------------------------

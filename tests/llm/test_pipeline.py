@@ -1,6 +1,5 @@
 """The pipeline's stages on the smallest tables."""
 
-from screenguard.llm import langid, simhash, toxicity  # noqa: F401  the pipeline goes where they go
 from screenguard.llm.common import stored, table
 
 
