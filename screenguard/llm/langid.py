@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, sliced
+from .common import prepare, release, sliced
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -160,7 +160,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     languages = sorted(set(got["lang"].to_pylist()))
     y = np.array([languages.index(x) for x in got["lang"].to_pylist()])
     rows = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(got["bucket"], got["share"], strict=True)]
-    return train(rows, y, languages)
+    model = train(rows, y, languages)
+    del got, rows
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,7 +105,6 @@ def _kinds() -> np.ndarray:
     text = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
     kind = np.full(0x110000, 2, np.uint8)
     for m in re.finditer(f"[^\\W\\d_{_NUMERALS}]+", text):
-        kind[ord(m[0][0]) : ord(m[0][0]) + 1] = 1
         kind[np.frombuffer(m[0].encode("utf-32-le"), np.uint32)] = 1
     kind[ord(SPACE)] = 0
     return kind
@@ -272,14 +271,13 @@ def segment(found: DataFrame, model: PieceModel) -> DataFrame:
 class Dictionary:
     """Ids of the frequent units by hash, in sorted arrays."""
 
-    def __init__(self, names: list[str], ids: list[np.ndarray]):
+    def __init__(self, names: list[str], edge: np.ndarray, flat: np.ndarray):
+        """edge: where in ``flat`` each unit's ids begin, and where the last one's end."""
         size = np.fromiter(map(len, names), np.int64, len(names))
         code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
         h = hashes(code, np.cumsum(size) - size, size) if len(code) else np.empty(0, np.uint64)
         order = np.argsort(h)
-        n = np.fromiter((len(ids[i]) for i in order), np.int64, len(ids))
-        self.hash, self.size, self.start = h[order], n, np.cumsum(n) - n
-        self.flat = np.concatenate([np.asarray(ids[i], np.int32) for i in order] or [np.empty(0, np.int32)]).astype(np.int32)
+        self.hash, self.size, self.start, self.flat = h[order], np.diff(edge)[order].astype(np.int64), edge[:-1][order].astype(np.int64), flat
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes, -1 for one that isn't there."""
@@ -298,7 +296,10 @@ def _frequent(spark: SparkSession, coded: DataFrame, most: int):
             break
         total, least = total + r["c"], r["n"]
     got = coded.where(F.col("n") >= (least if least is not None else 1 << 62)).select("unit", "ids").toArrow()
-    found = Dictionary(got["unit"].to_pylist(), [x.values.to_numpy() for x in got["ids"]])
+    ids = got["ids"].combine_chunks()
+    found = Dictionary(got["unit"].to_pylist(), ids.offsets.to_numpy().copy(), ids.values.to_numpy().astype(np.int32)) if len(got) else Dictionary([], np.zeros(1, np.int64), np.empty(0, np.int32))
+    del got, ids
+    release()
     return spark.sparkContext.broadcast(found), least is not None and least == sizes[-1]["n"] or not sizes
 
 

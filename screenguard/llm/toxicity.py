@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, sliced
+from .common import prepare, release, sliced
 from .simhash import shingle_hashes
 
 #: Labelled documents of each class that the sample has on average at most; the bound of the fit.
@@ -59,7 +59,7 @@ class Lexicon:
         return min(found, default=0)
 
 
-def lexicon(counts: list[tuple[str, int, int]], toxic: float, other: float) -> Lexicon:
+def lexicon(counts: Iterable[tuple[str, int, int]], toxic: float, other: float) -> Lexicon:
     """counts: (token, toxic documents, other documents); a token ``a*`` is a beginning."""
     scored = []
     for token, a, b in counts:
@@ -281,12 +281,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     if not all_toxic or not all_other:
         return None
     odds = (toxic / all_toxic) / (toxic / all_toxic + other / all_other)
-    picked = counts.where((toxic >= 4) & (odds >= TIERS[-1] - 0.1)).orderBy(F.desc(toxic - other), "token").limit(ENTRIES * 50).collect()
+    picked = counts.where((toxic >= 4) & (odds >= TIERS[-1] - 0.1)).orderBy(F.desc(toxic - other), "token").limit(ENTRIES * 50).toArrow()
+    tokens = picked["token"].to_pylist()
+    seen = np.stack([picked[f"c{c}"].to_numpy() for c in range(2 * FOLDS)])
 
     def without(fold: int | None) -> Lexicon:
         folds = [f for f in range(FOLDS) if f != fold]
         n = [sum(totals.get((f, y), 0) for f in folds) for y in (1, 0)]
-        return lexicon([(r["token"], sum(r[f"c{2 * f + 1}"] for f in folds), sum(r[f"c{2 * f}"] for f in folds)) for r in picked], *n)
+        a, b = (sum(seen[2 * f + y] for f in folds) for y in (1, 0))
+        return lexicon(zip(tokens, a.tolist(), b.tolist(), strict=True), *n)
 
     lex = [without(f) for f in range(FOLDS)]
 
@@ -302,7 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     part = ~calibrate if len(y) >= 200 else calibrate
     trees = Boosted().fit(x[part], y[part])
     weight = np.where(y > 0, 1 / rate[1], 1 / rate[0])
-    return ToxicityModel(without(None), trees, isotonic(trees.raw(x[calibrate]), y[calibrate], weight[calibrate]))
+    whole = without(None)
+    del got, picked
+    release()
+    return ToxicityModel(whole, trees, isotonic(trees.raw(x[calibrate]), y[calibrate], weight[calibrate]))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
