@@ -127,7 +127,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: l
     temperature = min(np.geomspace(0.25, 8, 41), key=loss)
     p = softmax(logits / temperature)
     right = p.argmax(1) == y[held]
-    threshold = min(0.5, float(np.quantile(p.max(1)[right], REJECTED))) if right.any() else 0.0
+    # few validation texts can't tell so small a share: the threshold stays nearer to chance
+    chance, sure = 1 / len(languages), right.sum() / (right.sum() + 1 / REJECTED)
+    threshold = chance + sure * max(0.0, min(0.5, float(np.quantile(p.max(1)[right], REJECTED))) - chance) if right.any() else 0.0
     return LanguageModel(languages, table, bias, float(temperature), threshold)
 
 
