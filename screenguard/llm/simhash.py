@@ -267,6 +267,8 @@ BANDS, MINIMA = 8, 3
 #: Bins of the sketch that confirms a pair; its estimate has a standard error of 0.025 at 0.8.
 BINS = 256
 SLACK = 0.025
+#: Members of a key that are compared in one block at least.
+MEMBERS = 512
 #: Fingerprints of texts alike by 0.8 differ in fewer bits than this; of unrelated texts in more.
 FAR = 20
 _SALTS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -281,11 +283,37 @@ def sketch(h: np.ndarray) -> bytes:
     return np.where(there, (least >> np.uint64(8)) & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint16).tobytes()
 
 
-def alike(a: bytes, b: bytes) -> float:
-    """Estimate of Jaccard's ratio of the two sketched sets."""
-    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-    some = (x | y) != 0
-    return float(((x == y) & some).sum() / some.sum()) if some.any() else 1.0
+def linked(rows: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places a, b) whose components are those of all pairs of sketches alike by ``least`` or more.
+
+    ``rows`` holds a sketch a row. Each is compared with all later ones that no link has joined
+    to it yet. Those that agree with most others in most bins come first, so that a text
+    with many copies joins them at once.
+    """
+    common = np.zeros(len(rows), np.int64)
+    for i in range(BINS):
+        _, at, times = np.unique(rows[:, i], return_inverse=True, return_counts=True)
+        common += times[at]
+    order = np.argsort(-common, kind="stable")
+    rows, fp = np.ascontiguousarray(rows[order]), fp[order]
+    none = np.packbits(rows == 0, axis=1).view(np.uint64)
+    group, u, v = np.arange(len(rows)), [], []
+    for i in range(len(rows) - 1):
+        later = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if not len(later):
+            if (group == group[i]).all():
+                break
+            continue
+        for k in range(0, len(later), 1024):
+            j = later[k : k + 1024]
+            void = np.bitwise_count(none[j] & none[i]).sum(1, dtype=np.int64)
+            same = np.bitwise_count((rows[j] == rows[i]).view(np.uint64)).sum(1, dtype=np.int64) - void
+            j = j[(same >= least * (BINS - void)) & (np.bitwise_count(fp[j] ^ fp[i]) < FAR)]
+            _, first = np.unique(group[j], return_index=True)
+            u += [i] * len(first)
+            v += j[first].tolist()
+            group[np.isin(group, group[j])] = group[i]
+    return order[np.array(u, np.int64)], order[np.array(v, np.int64)]
 
 
 def band_keys(h: np.ndarray) -> list[int]:
@@ -299,11 +327,11 @@ def band_keys(h: np.ndarray) -> list[int]:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, digest, keep): each row's id and text digest; keep marks the one of the smallest id of each group.
 
-    Equal texts are one class. Classes that share a blocking key are neighbours if one is
-    the key's smallest or they are next to each other in the Gray order of their SimHash
-    fingerprints, so a key's members give links in proportion to their number. A link
-    stands if the fingerprints are near and the sketches put the shingles' Jaccard ratio at
-    ``similarity`` or more, less SLACK. Null texts count as empty; all wordless texts are one group.
+    Equal texts are one class. All classes that share a blocking key are compared until links
+    join them: a key's members are dealt into blocks, and each two blocks meet in a cell that
+    gives fewer links than it has members. A link stands if the fingerprints are near and the
+    sketches put the shingles' Jaccard ratio at ``similarity`` or more, less SLACK. Null texts
+    count as empty; all wordless texts are one group.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -317,33 +345,38 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("id", "digest")
     classes = stored(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "digest", "text").mapInArrow(features, f"id {kind}, digest string, fp long, sketch binary, bands array<long>"))
-    keyed = classes.select(F.explode("bands").alias("key"), "digest", "fp", gray_rank(F.col("fp")).alias("rank"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("digest", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    stars = keyed.join(heads, "key").select(F.col("head.digest").alias("a"), F.col("head.fp").alias("fa"), F.col("digest").alias("b"), F.col("fp").alias("fb"))
+    keyed = classes.select(F.explode("bands").alias("key"), "digest")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = keyed.join(sizes, "key").withColumn("parts", F.expr(f"ceil(n / greatest({MEMBERS}, 16 * sqrt(n)))")).withColumn("own", F.expr("pmod(xxhash64(digest), parts)"))
+    meets = F.expr("if(parts = 1, array(struct(0L as x, 0L as y)), transform(filter(sequence(0L, parts - 1), j -> j <> own), j -> struct(least(own, j) as x, greatest(own, j) as y)))")
+    cells = dealt.select("digest", "key", F.explode(meets).alias("c")).select("digest", "key", "c.x", "c.y")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell."""
+        now, held = None, []
+
+        def out() -> list[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            rows = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
+            u, v = linked(rows, t["fp"].to_numpy().view(np.uint64), similarity - SLACK)
+            return pa.table({"u": t["digest"].take(pa.array(u)), "v": t["digest"].take(pa.array(v))}).combine_chunks().to_batches(1 << 20)
 
-    def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            both = pa.Table.from_batches([*([last] if last else []), b]).combine_chunks()
-            key = both["key"].to_numpy()
-            at = np.flatnonzero(key[1:] == key[:-1])
-            one, two = both.take(pa.array(at)), both.take(pa.array(at + 1))
-            yield from pa.table({"a": one["digest"], "fa": one["fp"], "b": two["digest"], "fb": two["fp"]}).combine_chunks().to_batches()
-            last = b.slice(b.num_rows - 1)
-
-    n = partitions(spark)
-    chains = keyed.repartitionByRange(n, "key", "rank").sortWithinPartitions("key", "rank", "digest").mapInArrow(adjacent, "a string, fa long, b string, fb long")
-    pairs = stars.union(chains).where(f"a <> b and bit_count(fa ^ fb) < {FAR}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [alike(x, y) >= similarity - SLACK for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    of = lambda k: classes.select(F.col("digest").alias(k), F.col("sketch").alias(f"s{k}"))
-    links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "u string, v string")
+            at = np.stack([b.column(i).to_numpy() for i in range(3)])
+            edge = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+            for s, e in zip(np.r_[0, edge], np.r_[edge, b.num_rows], strict=True):
+                if tuple(at[:, s]) != now:
+                    if held:
+                        yield from out()
+                    now, held = tuple(at[:, s]), []
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from out()
+
+    met = cells.join(classes.select("digest", "fp", "sketch"), "digest").select("key", "x", "y", "digest", "fp", "sketch")
+    links = met.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(link, "u string, v string")
     comp = connected_components(links)
     grouped = classes.select("digest", "id").join(comp, classes["digest"] == comp["node"], "left").select("digest", "id", F.coalesce("component", "digest").alias("group"))
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("f")).select(F.col("f.id").alias("kept_id"), F.col("f.digest").alias("kept"))

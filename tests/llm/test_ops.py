@@ -332,6 +332,45 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+def spread_copies(n, words=1500, seed=11):
+    """A base and ``n`` copies, each like the base by about 0.82 and like each other by about 0.68."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 5000, words)]
+    texts = []
+    for k in range(n):
+        w = base[:]
+        for i in rng.choice(words // 5, words // 50, replace=False):
+            w[5 * i + 2] = f"c{k}x{i}"
+        texts.append(" ".join(w))
+    return [*texts, " ".join(base)]
+
+
+def test_copies_that_are_only_like_their_base(spark):
+    texts = spread_copies(300)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    ratio = [len(x & sets[-1]) / len(x | sets[-1]) for x in sets[:-1]]
+    assert 0.8 <= min(ratio) and max(ratio) < 0.84
+    assert max(len(sets[0] & x) / len(sets[0] | x) for x in sets[1:-1]) < 0.75
+    assert simhash.deduplicate(docs(spark, texts)).count() <= 30
+
+
+def test_links_of_a_cell_are_those_of_all_pairs():
+    texts = [*spread_copies(60, 300), *spread_copies(5, 300, 12), *spread_copies(0, 300, 13), *spread_copies(0, 300, 14)]
+    rows = np.stack([np.frombuffer(simhash.sketch(simhash.shingle_hashes(t, 5)), np.uint16) for t in texts])
+    u, v = simhash.linked(rows, np.zeros(len(rows), np.uint64), 0.775)
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            some = (rows[a] | rows[b]) != 0
+            if ((rows[a] == rows[b]) & some).sum() >= 0.775 * some.sum():
+                want = [want[b] if x == want[a] else x for x in want]
+    got = list(range(len(rows)))
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        assert got[a] != got[b]
+        got = [got[b] if x == got[a] else x for x in got]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) < 20
+
+
 # ---- op9 ------------------------------------------------------------------------------
 
 
