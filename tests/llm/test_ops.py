@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -248,6 +249,19 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).where("size(notices) = 0").count() == 12 and licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_over_several_lines():
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            t = t.replace("{}", "2024 A. Nobody")
+            for sign in ("", "# ", " * ", "// "):
+                body = "\n".join(sign + line for line in textwrap.wrap(t, 70))
+                got = licenses.scan_text(f"import this\n\n{body}\n\ndef f(): pass\n")
+                assert [g["license"] for g in got] == [name] and not got[0]["missing"] and not got[0]["added"], (t, sign)
+                assert got[0]["start"] == 13 + len(sign)
+            narrow = licenses.scan_text("\n".join(t.split()))
+            assert [g["license"] for g in narrow] == [name] and not narrow[0]["missing"]
+
+
 # ---- op8 ------------------------------------------------------------------------------
 
 
