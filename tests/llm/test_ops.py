@@ -262,6 +262,18 @@ def test_licenses_over_several_lines():
             assert [g["license"] for g in narrow] == [name] and not narrow[0]["missing"]
 
 
+def test_licenses_in_long_lines():
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            t = t.replace("{}", "2024 A. Nobody")
+            got = licenses.scan_text("word " * 10_000 + t + " word" * 10_000)
+            assert [g["license"] for g in got] == [name] and not got[0]["missing"] and got[0]["start"] == 50_000, t
+    mit, isc = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["ISC"][0]
+    for between in (" ", " and also ", " word" * 3000 + " "):
+        assert [g["license"] for g in licenses.scan_text(mit + between + isc + between + mit)] == ["MIT", "ISC", "MIT"]
+        assert [g["license"] for g in licenses.scan_text(between.join([isc] * 3))] == ["ISC"] * 3
+
+
 # ---- op8 ------------------------------------------------------------------------------
 
 
