@@ -269,8 +269,6 @@ BINS = 256
 SLACK = 0.025
 #: Members of a key that are compared in one block at least.
 MEMBERS = 512
-#: Fingerprints of texts alike by 0.8 differ in fewer bits than this; of unrelated texts in more.
-FAR = 20
 _SALTS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -283,7 +281,7 @@ def sketch(h: np.ndarray) -> bytes:
     return np.where(there, (least >> np.uint64(8)) & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint16).tobytes()
 
 
-def linked(rows: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (places a, b) whose components are those of all pairs of sketches alike by ``least`` or more.
 
     ``rows`` holds a sketch a row. Each is compared with all later ones that no link has joined
@@ -295,7 +293,7 @@ def linked(rows: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray,
         _, at, times = np.unique(rows[:, i], return_inverse=True, return_counts=True)
         common += times[at]
     order = np.argsort(-common, kind="stable")
-    rows, fp = np.ascontiguousarray(rows[order]), fp[order]
+    rows = np.ascontiguousarray(rows[order])
     none = np.packbits(rows == 0, axis=1).view(np.uint64)
     group, u, v = np.arange(len(rows)), [], []
     for i in range(len(rows) - 1):
@@ -308,7 +306,7 @@ def linked(rows: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray,
             j = later[k : k + 1024]
             void = np.bitwise_count(none[j] & none[i]).sum(1, dtype=np.int64)
             same = np.bitwise_count((rows[j] == rows[i]).view(np.uint64)).sum(1, dtype=np.int64) - void
-            j = j[(same >= least * (BINS - void)) & (np.bitwise_count(fp[j] ^ fp[i]) < FAR)]
+            j = j[same >= least * (BINS - void)]
             _, first = np.unique(group[j], return_index=True)
             u += [i] * len(first)
             v += j[first].tolist()
@@ -329,9 +327,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Equal texts are one class. All classes that share a blocking key are compared until links
     join them: a key's members are dealt into blocks, and each two blocks meet in a cell that
-    gives fewer links than it has members. A link stands if the fingerprints are near and the
-    sketches put the shingles' Jaccard ratio at ``similarity`` or more, less SLACK. Null texts
-    count as empty; all wordless texts are one group.
+    gives fewer links than it has members. A link stands if the sketches put the
+    shingles' Jaccard ratio at ``similarity`` or more, less SLACK. Null texts count as empty; all
+    wordless texts are one group.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -340,11 +338,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             h = [shingle_hashes(t.as_py(), words) for t in b.column(2)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([majority_bits(x) for x in h], pa.uint64()).view(pa.int64()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([band_keys(x) for x in h], pa.list_(pa.int64()))], ["id", "digest", "fp", "sketch", "bands"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([sketch(x) for x in h], pa.binary()), pa.array([band_keys(x) for x in h], pa.list_(pa.int64()))], ["id", "digest", "sketch", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("id", "digest")
-    classes = stored(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "digest", "text").mapInArrow(features, f"id {kind}, digest string, fp long, sketch binary, bands array<long>"))
+    classes = stored(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "digest", "text").mapInArrow(features, f"id {kind}, digest string, sketch binary, bands array<long>"))
     keyed = classes.select(F.explode("bands").alias("key"), "digest")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = keyed.join(sizes, "key").withColumn("parts", F.expr(f"ceil(n / greatest({MEMBERS}, 16 * sqrt(n)))")).withColumn("own", F.expr("pmod(xxhash64(digest), parts)"))
@@ -358,7 +356,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         def out() -> list[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             rows = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
-            u, v = linked(rows, t["fp"].to_numpy().view(np.uint64), similarity - SLACK)
+            u, v = linked(rows, similarity - SLACK)
             return pa.table({"u": t["digest"].take(pa.array(u)), "v": t["digest"].take(pa.array(v))}).combine_chunks().to_batches(1 << 20)
 
         for b in batches:
@@ -375,7 +373,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if held:
             yield from out()
 
-    met = cells.join(classes.select("digest", "fp", "sketch"), "digest").select("key", "x", "y", "digest", "fp", "sketch")
+    met = cells.join(classes.select("digest", "sketch"), "digest").select("key", "x", "y", "digest", "sketch")
     links = met.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(link, "u string, v string")
     comp = connected_components(links)
     grouped = classes.select("digest", "id").join(comp, classes["digest"] == comp["node"], "left").select("digest", "id", F.coalesce("component", "digest").alias("group"))

@@ -380,10 +380,19 @@ def test_copies_that_are_only_like_their_base(spark):
     assert simhash.deduplicate(docs(spark, texts)).count() <= 30
 
 
+def test_copies_of_which_one_repeats_a_line(spark):
+    words = spread_copies(0, 400)[0]
+    line = "this line stands on every page of the book"
+    texts = [f"{words} {line}", f"{words} {' '.join([line] * 400)}"]
+    h = [simhash.shingle_hashes(t, 5) for t in texts]
+    assert len(set(h[0]) & set(h[1])) / len(set(h[0]) | set(h[1])) > 0.9 and (simhash.majority_bits(h[0]) ^ simhash.majority_bits(h[1])).bit_count() >= 20
+    assert [r["doc_id"] for r in simhash.deduplicate(docs(spark, texts)).collect()] == [0]
+
+
 def test_links_of_a_cell_are_those_of_all_pairs():
     texts = [*spread_copies(60, 300), *spread_copies(5, 300, 12), *spread_copies(0, 300, 13), *spread_copies(0, 300, 14)]
     rows = np.stack([np.frombuffer(simhash.sketch(simhash.shingle_hashes(t, 5)), np.uint16) for t in texts])
-    u, v = simhash.linked(rows, np.zeros(len(rows), np.uint64), 0.775)
+    u, v = simhash.linked(rows, 0.775)
     want = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
