@@ -1,12 +1,14 @@
 """The word list of seed phrases.
 
-The whole public list has 2048 words and is a parameter: a file of a word a line, by
-argument or in the setting ``spark.screenguard.wordlist``. Without one the words under
-"a" stand for it, which is enough for tests and examples.
+The whole public list of 2048 words (BIP-39, English) lies beside this file and is the
+default; another one is a parameter: a file of a word a line, by argument or in the
+setting ``spark.screenguard.wordlist``. SAMPLE is for tests and examples only.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ SAMPLE = tuple(
 )
 
 
+#: The whole public list.
+ENGLISH = tuple(pkgutil.get_data(__package__, "bip39_english.txt").decode().split())
+
+
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """(word): lines of a file, trimmed, without empty ones, each once."""
     return clean_words(spark.read.text(path))
@@ -43,7 +49,7 @@ def clean_words(lines: DataFrame) -> DataFrame:
 def words(spark: SparkSession, path: str | None = None) -> tuple[str, ...]:
     path = path or spark.conf.get(SETTING, None)
     if not path:
-        return SAMPLE
+        return ENGLISH
     got = [r["word"] for r in read_words(spark, path).limit(MOST + 1).collect()]
     if len(got) > MOST:
         raise ValueError(f"{path} has more than {MOST} words")

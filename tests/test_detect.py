@@ -66,6 +66,13 @@ def test_seed_range(spark, t, want):
     assert (tuple(r) if r else None) == want
 
 
+def test_whole_word_list_by_default(spark):
+    phrase = "legal winner thank year wave sausage worth useful legal winner thank yellow"
+    assert len(set(words.words(spark))) == 2048 and set(words.SAMPLE) < set(words.words(spark))
+    d = spark.createDataFrame([(phrase,), ("legal winner thank you for the sausage of the year",)], "t string")
+    assert [r[0] for r in d.select(detect.seed_phrase(F.col("t"), words.words(spark))).collect()] == [True, False]
+
+
 def test_words(spark, tmp_path):
     (tmp_path / "w.txt").write_text(" abandon \n\nzoo\tx\nzoo\tx\nmiddle\n")
     assert words.words(spark, str(tmp_path / "w.txt")) == ("abandon", "middle", "zoo\tx")
