@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, sliced, stored
+from .common import partitions, prepare, release, sliced, stored
 from .components import connected_components
 
 FANOUT = 8
@@ -286,10 +286,10 @@ def linked(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 
     ``rows`` holds a sketch a row. Each is compared with all later ones that no link has joined
     to it yet. Those that agree with most others in most bins come first, so that a text
-    with many copies joins them at once.
+    with many copies joins them at once; of few rows any order is as fast.
     """
     common = np.zeros(len(rows), np.int64)
-    for i in range(BINS):
+    for i in range(BINS if len(rows) > 64 else 0):
         _, at, times = np.unique(rows[:, i], return_inverse=True, return_counts=True)
         common += times[at]
     order = np.argsort(-common, kind="stable")
@@ -372,6 +372,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 held.append(b.slice(s, e - s))
         if held:
             yield from out()
+        held.clear()
+        release()
 
     met = cells.join(classes.select("digest", "sketch"), "digest").select("key", "x", "y", "digest", "sketch")
     links = met.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(link, "u string, v string")
