@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,12 @@ def release() -> None:
         pass
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that are no longer in use: it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``chars`` bytes of the text column, at least one row each."""
     import numpy as np

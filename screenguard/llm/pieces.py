@@ -7,12 +7,15 @@ segmentation of greatest total score. Texts are then put together from their uni
 the most frequent from a broadcast dictionary of bounded size, the others by a join.
 
 The segmentation is the library's for unigram models (best total score, unknown
-characters as bytes, ties to the longer last piece). A BPE model's pieces are scored by
-merge rank, and its own segmentation merges by rank instead of adding scores.
+characters as bytes, ties to the longer last piece). A BPE model's file holds merge ranks,
+which don't add up like log probabilities. By default its pieces are therefore scored by
+Zipf's law, the log of one over the rank, less a charge for each piece, which favours few
+pieces as merging does; ``scores="file"`` takes the ranks as they are. No model is trained.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,26 +24,29 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, release, sliced, stored
+from .common import partitions, prepare, reclaim, release, sliced, stored
 
 SPACE = "▁"
 #: Numerals that count as word characters but don't join letters (fixed values).
 _NUMERALS = "²³¹¼½¾⁰⁴-⁹₀-₉"
 #: A unit: spaces before letters, or before other characters.
 UNIT = re.compile(f"{SPACE}*(?:[^\\W\\d_{_NUMERALS}]+|(?:(?!{SPACE})[\\W\\d_{_NUMERALS}])+)|{SPACE}+")
-#: Units of more characters are folded in place, one at a time, so that no group of edges is large.
-LONG = 64
+#: Characters of a window of a unit; bounds the edges that are grouped in one row.
+WINDOW = 64
 #: Units of the broadcast dictionary at most, the most frequent; the others are joined.
 FREQUENT = 200_000
 #: Distinct units that a task counts before it hands them on.
 HELD = 300_000
-#: Bytes of texts that are cut into units together.
-PORTION = 1_000_000
+#: Bytes of texts that are cut into units together, and travel in one row.
+PORTION = 2_000_000
 UNKNOWN_PENALTY = 10.0
+#: Zipf's offset of ranks, and the charge for each piece.
+ZIPF, CHARGE = 2.7, 3.0
 _PLACES = np.random.default_rng(29).integers(1 << 62, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -62,15 +68,22 @@ class PieceModel:
         return min((s for _, _, s in self.pieces), default=0.0) - UNKNOWN_PENALTY
 
 
-def load(path: str | None = None) -> PieceModel:
-    """Read a model; by default the installed public one. Its pieces must not cross units."""
+def load(path: str | None = None, scores: str = "auto") -> PieceModel:
+    """Read a model; by default the installed public one. Its pieces must not cross units.
+
+    scores: "file" for the file's; "auto" for the file's, but Zipf's for a BPE model.
+    """
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
+    proto = pb.ModelProto()
+    proto.ParseFromString(m.serialized_model_proto())
+    ranked = scores == "auto" and proto.trainer_spec.model_type == 2
     normal, by_id = [], []
     for i in range(m.get_piece_size()):
         p = m.id_to_piece(i)
@@ -84,6 +97,10 @@ def load(path: str | None = None) -> PieceModel:
     bad = [p for p, _, _ in normal if not UNIT.fullmatch(p)]
     if bad:
         raise ValueError(f"pieces that cross units: {bad[:5]}")
+    if ranked:  # the best score has rank 1; the file's order decides between equal ones
+        order = sorted(range(len(normal)), key=lambda j: -normal[j][2])
+        rank = {j: k for k, j in enumerate(order, 1)}
+        normal = [(p, i, -math.log(rank[j] + ZIPF) - CHARGE) for j, (p, i, _) in enumerate(normal)]
     first = next((i for i in range(m.get_piece_size()) if m.is_byte(i)), -1)
     if first >= 0 and [by_id[i] for i in range(first, first + 256)] != [bytes([b]) for b in range(256)]:
         raise ValueError("byte pieces don't stand in order")
@@ -165,51 +182,22 @@ class Decoder:
         return self.raw(ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
-def fold(unit: str, table: dict[str, tuple[int, float]], longest: int, model: tuple[int, int, float]) -> list[int]:
-    """Viterbi over one long unit: the lattice's rule, holding only what lies ``longest`` back."""
-    bytes_from, unknown, unknown_score = model
-    best, back = [0.0], [(0, -1)]
-    for end in range(1, len(unit) + 1):
-        top, via = None, (end - 1, -1)
-        for start in range(max(0, end - longest), end):
-            got = table.get(unit[start:end])
-            if got is None:
-                if end - start > 1:
-                    continue
-                got = (-1, unknown_score)
-            score = best[start] + got[1]
-            if top is None or score > top:
-                top, via = score, (start, got[0])
-        best.append(top)
-        back.append(via)
-    out, end = [], len(unit)
-    while end:
-        start, i = back[end]
-        if i < 0:
-            raw = unit[start:end].encode("utf-8", "surrogatepass")
-            out += [bytes_from + b for b in reversed(raw)] if bytes_from >= 0 else [unknown]
-        else:
-            out.append(i)
-        end = start
-    return out[::-1]
-
-
 # ---- the dictionary of units ----------------------------------------------------------
 
 
 def unit_counts(docs: DataFrame) -> DataFrame:
-    """docs (text) -> (unit, n): every distinct unit of at most LONG characters."""
+    """docs (text) -> (unit, n, size): every distinct unit, how often it stands in all texts, and its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             keys = sorted(sums)
-            found = pa.record_batch([pa.array(keys, pa.string()), pa.array([sums[k] for k in keys], pa.int64())], ["unit", "n"])
+            found = pa.record_batch([pa.array(keys, pa.string()), pa.array([sums[k] for k in keys], pa.int64()), pa.array([len(k) for k in keys], pa.int64())], ["unit", "n", "size"])
             sums.clear()
             return found
 
-        for b in sliced(batches, "text", 2 * PORTION):
+        for b in sliced(batches, "text", PORTION):
             cut = Units(b.column(0).to_pylist())
             _, first, count = np.unique(cut.hash, return_index=True, return_counts=True)
             for u, n in zip(cut.strings(first), count.tolist(), strict=True):
@@ -220,37 +208,64 @@ def unit_counts(docs: DataFrame) -> DataFrame:
         release()
 
     spark = docs.sparkSession
-    raw = docs.select("text").mapInArrow(run, "unit string, n long").where(F.length("unit") <= LONG)
-    return raw.repartition(partitions(spark), "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    raw = docs.select("text").mapInArrow(run, "unit string, n long, size long")
+    # size is summed up, not a key: so that a condition on it stays above the one shuffle that all readers share
+    return raw.repartition(partitions(spark), "unit").groupBy("unit").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
 
-def segment(found: DataFrame, model: PieceModel) -> DataFrame:
-    """found (unit, n) -> (unit, n, ids): the lattice of every unit, folded.
+def _edges(windows: DataFrame, model: PieceModel) -> DataFrame:
+    """windows (..., body, skip, pad) -> a row (..., edge) for each piece or single character that ends in a window.
 
-    Partitioned by unit all along, so nothing moves between explosion, join, grouping and
-    fold. The piece table is broadcast: its size is the model's, whatever the corpus.
+    body: the window's characters after ``skip`` ones of the window before, that pieces may
+    begin in; pad is added to all places. An edge is (end, start, id, score), with -1 less the
+    code point as the id of an unknown character. The piece table is broadcast: its size is
+    the model's, whatever the corpus.
     """
-    spark = found.sparkSession
-    table = F.broadcast(spark.createDataFrame([(p, i, s) for p, i, s in model.pieces], "piece string, id int, score float"))
-    at = found.select("unit", "n", F.length("unit").alias("len")).withColumn("s", F.explode(F.expr("sequence(0, len - 1)")))
-    sub = at.withColumn("k", F.explode(F.expr(f"sequence(1, least({model.longest}, len - s))"))).withColumn("sub", F.expr("substring(unit, s + 1, k)"))
-    edges = sub.join(table, sub["sub"] == table["piece"], "left").where("id is not null or k = 1")
-    edge = F.struct((F.col("s") + F.col("k")).alias("e"), F.col("s"), F.expr("coalesce(id, -1 - ascii(sub))").alias("id"), F.coalesce("score", F.lit(model.unknown_score)).cast("double").alias("p"))
-    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
-    # state: for each end so far its best score and ids; edges come by end, then by start
-    grouped = grouped.withColumn(
-        "ids",
-        F.expr("""
-            aggregate(edges,
-              named_struct('done', array(named_struct('p', 0D, 'ids', cast(array() as array<int>))), 'e', 1, 'p', cast(null as double), 's', 0, 'id', 0),
-              (a, x) -> if(x.e = a.e,
-                if(a.p is null or a.done[x.s].p + x.p > a.p,
-                  named_struct('done', a.done, 'e', a.e, 'p', a.done[x.s].p + x.p, 's', x.s, 'id', x.id), a),
-                named_struct('done', concat(a.done, array(named_struct('p', a.p, 'ids', concat(a.done[a.s].ids, array(a.id))))), 'e', x.e,
-                  'p', if(x.s = a.e, a.p, a.done[x.s].p) + x.p, 's', x.s, 'id', x.id)),
-              a -> concat(a.done[a.s].ids, array(a.id)))
-        """),
-    )
+    spark = windows.sparkSession
+    table = F.broadcast(spark.createDataFrame([(p, i, s) for p, i, s in model.pieces], "piece string, piece_id int, score double"))
+    keep = [c for c in windows.columns if c not in ("body", "skip", "pad")]
+    at = windows.withColumn("s", F.explode(F.expr("sequence(0, cast(length(body) as int) - 1)")))
+    sub = at.withColumn("k", F.explode(F.expr(f"sequence(1, least({model.longest}, cast(length(body) as int) - s))"))).where("s + k > skip")
+    sub = sub.select(*keep, "k", F.expr("pad + s + k").alias("e"), F.expr("pad + s").alias("s"), F.expr("substring(body, s + 1, k)").alias("sub"))
+    edges = sub.join(table, sub["sub"] == table["piece"], "left").where("piece_id is not null or k = 1")
+    return edges.select(*keep, F.struct("e", "s", F.expr("coalesce(piece_id, -1 - ascii(sub))").alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("p")).alias("edge"))
+
+
+_PLACES_TYPE = "array<struct<e: int, s: int, id: int, p: double>>"
+_GOT = "named_struct('e', x.e, 's', x.s, 'id', x.id, 'p', a[x.s].p + x.p)"
+#: Viterbi's step. State: for each place so far the best edge into it, with the best score up to it. Edges come by end,
+#: longer pieces first; the first of equal scores stays.
+_STEP = f"(a, x) -> if(x.e < size(a), if(a[x.s].p + x.p > a[x.e].p, array_append(slice(a, 1, x.e), {_GOT}), a), array_append(a, {_GOT}))"
+_TRACE = "(u, x) -> if(x.e = u.at, named_struct('at', x.s, 'ids', array_append(u.ids, x.id)), u)"
+_IDS = "cast(array() as array<int>)"
+
+
+def _start(score: str) -> str:
+    return f"named_struct('e', -1, 's', 0, 'id', 0, 'p', {score})"
+
+
+def _fold_one(edges: str) -> Column:
+    """Ids of the best path over the edges of a unit of one window."""
+    best = f"aggregate({edges}, cast(array({_start('0D')}) as {_PLACES_TYPE}), {_STEP})"
+    return F.expr(f"aggregate(reverse({best}), named_struct('at', cast(size as int), 'ids', {_IDS}), {_TRACE}, u -> reverse(u.ids))")
+
+
+def _fold_chain(chunks: str, width: int, overlap: int) -> Column:
+    """Ids of the best path over windows of edges, in order; the scores of the last places go on from window to window.
+
+    In each window places count from ``overlap`` characters before it, so that place p of
+    one is place p + ``width`` of the window before.
+    """
+    window = f"transform(array(aggregate(c, o.last, {_STEP})), r -> named_struct('last', if(size(r) > {overlap + 1}, slice(r, -{overlap + 1}, {overlap + 1}), r), 'backs', array_append(o.backs, slice(r, {overlap + 2}, size(r)))))[0]"
+    before = f"cast(array_append(array_repeat({_start("double('-infinity')")}, {overlap}), {_start('0D')}) as {_PLACES_TYPE})"
+    backs = f"aggregate({chunks}, named_struct('last', {before}, 'backs', cast(array() as array<{_PLACES_TYPE}>)), (o, c) -> {window}, o -> o.backs)"
+    path = f"transform(array(aggregate(reverse(c), named_struct('at', t.at, 'ids', {_IDS}), {_TRACE})), u -> named_struct('at', u.at + {width}, 'parts', array_append(t.parts, u.ids)))[0]"
+    last = f"cast({overlap} + size - {width} * (size({chunks}) - 1) as int)"
+    return F.expr(f"aggregate(reverse({backs}), named_struct('at', {last}, 'parts', cast(array() as array<array<int>>)), (t, c) -> {path}, t -> reverse(flatten(t.parts)))")
+
+
+def _plain(model: PieceModel) -> Column:
+    """Final ids of ``ids``: unknown characters become the ids of their UTF-8 bytes, or the unknown id."""
     if model.bytes_from >= 0:
         b = model.bytes_from
         plain = f"""
@@ -261,8 +276,30 @@ def segment(found: DataFrame, model: PieceModel) -> DataFrame:
                  else array({b} + 240 + ((-1 - i) div 262144), {b} + 128 + ((-1 - i) div 4096) % 64, {b} + 128 + ((-1 - i) div 64) % 64, {b} + 128 + (-1 - i) % 64) end"""
     else:
         plain = f"array(if(i >= 0, i, {model.unknown}))"
-    ids = F.expr(f"if(exists(ids, i -> i < 0), flatten(transform(ids, i -> transform({plain}, j -> cast(j as int)))), ids)")
-    return grouped.select("unit", "n", ids.alias("ids"))
+    return F.expr(f"if(exists(ids, i -> i < 0), flatten(transform(ids, i -> transform({plain}, j -> cast(j as int)))), ids)")
+
+
+def segment(found: DataFrame, model: PieceModel) -> DataFrame:
+    """found (unit, n, size) -> (unit, n, ids): the lattice of every unit, folded.
+
+    A unit is cut into windows of WINDOW characters; an edge belongs to the window that it
+    ends in, so that no group of edges is large, and the fold carries the last scores from
+    window to window. A unit of one window, as nearly all are, stays in its partition from
+    explosion to fold; the windows of longer ones are spread over tasks.
+    """
+    spark = found.sparkSession
+    width, overlap = max(WINDOW, model.longest), model.longest - 1
+    one = found.where(F.col("size") <= width).select("unit", "n", "size", F.col("unit").alias("body"), F.lit(0).alias("skip"), F.lit(0).alias("pad"))
+    one = _edges(one, model).groupBy("unit").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    one = one.select("unit", "n", _fold_one("edges").alias("ids"))
+    cut = F.expr(f"transform(parts, (p, w) -> struct(w as w, if(w = 0, p, concat(right(parts[w - 1], {overlap}), p)) as body, if(w = 0, 0, {overlap}) as skip, if(w = 0, {overlap}, 0) as pad))")
+    more = found.where(F.col("size") > width).withColumn("key", F.sha2("unit", 256))
+    windows = more.select("key", F.expr(f"regexp_extract_all(unit, '(?s).{{1,{width}}}', 0)").alias("parts")).select("key", F.explode(cut).alias("v"))
+    windows = windows.select("key", "v.w", "v.body", "v.skip", "v.pad").repartition(partitions(spark), "key", "w")
+    chunk = _edges(windows, model).groupBy("key", "w").agg(F.array_sort(F.collect_list("edge")).alias("chunk"))
+    chunks = chunk.groupBy("key").agg(F.expr("transform(array_sort(collect_list(struct(w, chunk))), c -> c.chunk)").alias("chunks"))
+    long = more.select("key", "unit", "n", "size").join(chunks, "key").select("unit", "n", _fold_chain("chunks", width, overlap).alias("ids"))
+    return one.union(long).select("unit", "n", _plain(model).alias("ids"))
 
 
 # ---- texts ----------------------------------------------------------------------------
@@ -288,19 +325,41 @@ class Dictionary:
 
 
 def _frequent(spark: SparkSession, coded: DataFrame, most: int):
-    """The units of the greatest counts, whole counts at a time, up to ``most``: as a broadcast; and whether that is all."""
-    sizes = coded.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
+    """At most ``most`` units of the greatest counts, as a broadcast; and whether those are all.
+
+    Counts are told apart to a sixteenth of their binary logarithm, so that the driver gets
+    at most a thousand sums.
+    """
+    level = F.floor(16 * F.log2("n")).alias("level")
+    sizes = coded.groupBy(level).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect()
     total, least = 0, None
     for r in sizes:
         if total + r["c"] > most:
             break
-        total, least = total + r["c"], r["n"]
-    got = coded.where(F.col("n") >= (least if least is not None else 1 << 62)).select("unit", "ids").toArrow()
+        total, least = total + r["c"], r["level"]
+    got = coded.where(level >= (least if least is not None else 1 << 30)).select("unit", "ids").toArrow()
     ids = got["ids"].combine_chunks()
     found = Dictionary(got["unit"].to_pylist(), ids.offsets.to_numpy().copy(), ids.values.to_numpy().astype(np.int32)) if len(got) else Dictionary([], np.zeros(1, np.int64), np.empty(0, np.int32))
     del got, ids
     release()
-    return spark.sparkContext.broadcast(found), least is not None and least == sizes[-1]["n"] or not sizes
+    return spark.sparkContext.broadcast(found), not sizes or least == sizes[-1]["level"]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows whose first column is their partition, some texts at a time, with a key.
+
+    The key is the same whenever the same rows are read in the same order.
+    """
+    for i, b in enumerate(sliced(batches, "text", PORTION)):
+        yield (b.column(0)[0].as_py() << 32) + i, b
+
+
+def _rare(cut: Units, known: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the dictionary of all units; the first of each distinct unit that it lacks; which of those stands where."""
+    at = known.find(cut.hash)
+    missing = np.flatnonzero(at < 0)
+    _, first, which = np.unique(cut.hash[missing], return_index=True, return_inverse=True)
+    return at, missing[first], which
 
 
 def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -308,78 +367,105 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
 
     Null and empty texts have no ids. roundtrip: whether the decoded ids are the text again,
     which holds for every text without the character U+2581, that decodes to a space. Repeated
-    rows and null ids are kept, other columns ignored; no rows give no rows.
+    rows and null ids are kept, other columns ignored; no rows give no rows. A text of any
+    length is encoded as a whole; a task holds one text, or some of PORTION characters in all.
+
+    Texts travel once, some megabytes to a row, compressed; the units that the broadcast
+    dictionary lacks are asked for once in each such row, by number, and the answers meet the
+    texts in one shuffle. Both passes cut the texts alike, as they read the same rows in the
+    same order; where the plan of ``docs`` doesn't promise that order, it is stored first.
     """
     spark = docs.sparkSession
     prepare(spark)
-    model = model or load()
+    model = model or load(spark.conf.get("spark.screenguard.pieces", None))
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if d._jdf.queryExecution().toRdd().outputDeterministicLevel().toString() != "DETERMINATE":
+        d = stored(d)
     coded = stored(segment(unit_counts(d), model))
     common, whole = _frequent(spark, coded, frequent)
-    longest, by_id = model.longest, model.by_id
-    table = spark.sparkContext.broadcast({p: (i, s) for p, i, s in model.pieces})
-    rule = (model.bytes_from, model.unknown, model.unknown_score)
+    reclaim(spark)
+    by_id = model.by_id
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text the units that must be joined."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each slice the units that must be joined, by number."""
         known = common.value
-        for b in sliced(batches, "text", PORTION):
+        for key, b in _slices(batches):
             cut = Units(b.column(1).to_pylist())
-            which = np.flatnonzero((known.find(cut.hash) < 0) & (cut.size <= LONG))
-            names, edge = cut.strings(which), np.searchsorted(which, cut.first)
-            some = [list(set(names[s:e])) for s, e in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(some, pa.list_(pa.string()))], ["key", "units"])
+            _, first, _ = _rare(cut, known)
+            if len(first):
+                yield pa.record_batch([pa.array(np.full(len(first), key)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(cut.strings(first), pa.string())], ["slice", "number", "unit"])
         release()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each slice's rows as one row."""
         press = zstandard.ZstdCompressor(level=3)
-        for b in sliced(batches, "text"):
-            raw = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["key", "id", "packed"])
+        for key, b in _slices(batches):
+            b, sink = b.select([1, 2]), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.record_batch([pa.array([key]), pa.array([-1], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["slice", "number", "body"])
+        release()
+
+    def assemble(b: pa.RecordBatch, answers: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        """answers: where the ids of each numbered unit begin and end, and the ids."""
+        known, back = common.value, Decoder(by_id)
+        texts = b.column(1).to_pylist()
+        cut = Units(texts)
+        at, _, which = _rare(cut, known)
+        missing = at < 0
+        edge, more = answers
+        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        start[~missing], size[~missing] = known.start[at[~missing]], known.size[at[~missing]]
+        start[missing], size[missing] = len(known.flat) + edge[:-1][which], np.diff(edge)[which]
+        ids = np.concatenate([known.flat, more])[runs(start, size)]
+        total = np.append(0, np.cumsum(size))[cut.first]  # of ids before each text
+        if back.raw(ids) == cut.joined.encode("utf-8", "surrogatepass"):
+            same = [SPACE not in (t or "") for t in texts]
+        else:
+            same = [back.text(ids[s:e]) == (t or "") for s, e, t in zip(total[:-1], total[1:], texts, strict=True)]
+        return pa.record_batch([b.column(0), pa.array(np.diff(total)), pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids)), pa.array(same)], ["id", "n_tokens", "ids", "roundtrip"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, short, flat, back = common.value, table.value, zstandard.ZstdDecompressor(), Decoder(by_id)
-        for big in batches:
-            for i in range(0, big.num_rows, 200):
-                b = big.slice(i, 200)
-                got = [flat.decompress(t).decode("utf-8", "surrogatepass") if isinstance(t, bytes) else t or "" for t in b.column(1).to_pylist()]
-                cut = Units(got)
-                at = known.find(cut.hash)
-                missing = np.flatnonzero(at < 0)
-                names, edge = cut.strings(missing), np.searchsorted(missing, cut.first)
-                rest = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-                extra = []  # ids of the units that the dictionary lacks, in order
-                for s, e, answers in zip(edge[:-1], edge[1:], rest, strict=True):
-                    own = {}
-                    for x in answers or ():
-                        u, _, ids = x.rpartition("\t")
-                        own[u] = ids.split(" ")
-                    for u in names[s:e]:
-                        if len(u) > LONG and u not in own:
-                            own[u] = fold(u, short, longest, rule)
-                        extra.append(own[u])
-                more = np.fromiter(map(len, extra), np.int64, len(extra))
-                start, size = known.start[at] if len(known.start) else np.zeros(len(at), np.int64), known.size[at] if len(known.size) else np.zeros(len(at), np.int64)
-                start[missing], size[missing] = len(known.flat) + np.cumsum(more) - more, more
-                pool = np.concatenate([known.flat, np.array([i for x in extra for i in x], np.int32)]) if extra else known.flat
-                ids = pool[runs(start, size)]
-                total = np.append(0, np.cumsum(size))[cut.first]  # of ids before each text
-                raw = back.raw(ids)
-                if raw == cut.joined.encode("utf-8", "surrogatepass"):
-                    same = [SPACE not in t for t in got]
-                else:
-                    same = [back.text(ids[s:e]) == t for s, e, t in zip(total[:-1], total[1:], got, strict=True)]
-                yield pa.record_batch([b.column(0), pa.array(np.diff(total)), pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids)), pa.array(same)], ["id", "n_tokens", "ids", "roundtrip"])
+        """Rows come by slice, its texts (number -1) before its answers."""
+        unpack, now, held, sizes, ids = zstandard.ZstdDecompressor(), None, None, [], []
+
+        def out() -> pa.RecordBatch:
+            edge = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+            return assemble(held, (edge, np.concatenate(ids) if ids else np.empty(0, np.int32)))
+
+        for b in batches:
+            key, number = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cut = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)] if len(key) else []
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if key[s] != now:
+                    if held is not None:
+                        yield out()
+                    now, held, sizes, ids = key[s], None, [], []
+                if number[s] < 0:
+                    with pa.ipc.open_stream(unpack.decompress(b.column(2)[int(s)].as_py())) as r:
+                        held = r.read_next_batch()
+                    s += 1
+                if s < e:  # answers come by number, none is left out
+                    raw = b.column(2).slice(s, e - s)
+                    sizes.append(np.asarray(pc.binary_length(raw), np.int64) // 4)
+                    ids.append(np.frombuffer(b"".join(raw.to_pylist()), ">i4").astype(np.int32))
+        if held is not None:
+            yield out()
+        release()
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text", PORTION):
+            yield assemble(b, (np.zeros(1, np.int64), np.empty(0, np.int32)))
         release()
 
     schema = f"id {kind}, n_tokens long, ids array<int>, roundtrip boolean"
     if whole:
-        return d.mapInArrow(texts, schema)
-    # rows of one key share their joined units, which does no harm
-    keyed = d.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    asked = keyed.select("key", "text").mapInArrow(rare, "key long, units array<string>").select("key", F.explode("units").alias("unit"))
-    answer = F.concat("unit", F.lit("\t"), F.array_join("ids", " ")).alias("answer")  # shorter than a struct
-    answers = asked.join(coded.select("unit", answer), "unit").groupBy("key").agg(F.collect_set("answer").alias("own"))
-    held = keyed.mapInArrow(packed, f"key long, id {kind}, packed binary")
-    return held.join(answers, "key", "left").select("id", "packed", "own").mapInArrow(texts, schema)
+        return d.mapInArrow(alone, schema)
+    # a column, as the task's own number is another one above a union
+    d = d.select(F.spark_partition_id().alias("part"), "id", "text")
+    asked = d.select("part", "text").mapInArrow(ask, "slice long, number int, unit string")
+    body = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), "")).alias("body")
+    answers = asked.join(coded.select("unit", body), "unit").select("slice", "number", "body")
+    both = d.mapInArrow(packed, "slice long, number int, body binary").union(answers)
+    return both.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "number").mapInArrow(texts, schema)

@@ -440,6 +440,51 @@ def test_with_next(spark):
 # ---- op10 -----------------------------------------------------------------------------
 
 
+def slow_path(unit, model, known={}):  # noqa: B006
+    """Viterbi by hand: best total score, ties to the longer last piece, unknown characters as bytes."""
+    if id(model) not in known:
+        known[id(model)] = model, {p: (i, x) for p, i, x in model.pieces}, model.longest, model.unknown_score
+    _, table, longest, unknown = known[id(model)]
+    best, back = [0.0], [(0, 0)]
+    for end in range(1, len(unit) + 1):
+        top = None
+        for start in range(max(0, end - longest), end):
+            i, x = table.get(unit[start:end], (-1, unknown) if end - start == 1 else (None, 0))
+            if i is not None and (top is None or best[start] + x > top[0]):
+                top = best[start] + x, (start, i)
+        best.append(top[0])
+        back.append(top[1])
+    out, end = [], len(unit)
+    while end:
+        start, i = back[end]
+        out += [i] if i >= 0 else [model.bytes_from + b for b in reversed(unit[start:end].encode())]
+        end = start
+    return out[::-1]
+
+
+def test_long_units_are_folded_like_short_ones(spark):
+    rng = np.random.default_rng(6)
+    made = ["▁" + "".join(rng.choice(list("etaoinshrdlu"), n)) for n in (1, 62, 63, 64, 65, 78, 79, 126, 127, 128, 191, 192, 1000, 6000)]
+    made += ["é" * 70 + "x" * 100, "日" * 300, "☃" * 130, "e" * 5000]
+    model = pieces.load()
+    found = spark.createDataFrame([(u, 1, len(u)) for u in made], "unit string, n long, size long")
+    got = {r["unit"]: list(r["ids"]) for r in pieces.segment(found, model).collect()}
+    assert len(got) == len(made) and all(got[u] == slow_path(u, model) for u in made)
+
+
+def test_scores_of_a_merge_model(spark, sf):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    tokens = {i: len(library.encode(t)) for i, t in texts.items()}
+    zipf = sum(r["n_tokens"] for r in pieces.encode(d).collect())
+    ranks = sum(r["n_tokens"] for r in pieces.encode(d, pieces.load(scores="file")).collect())
+    assert abs(zipf / sum(tokens.values()) - 1) < 0.02 < ranks / sum(tokens.values()) - 1
+
+
 def test_pieces(spark, tmp_path):
     import public_tokenizers
     import sentencepiece
@@ -461,11 +506,9 @@ def test_pieces(spark, tmp_path):
             assert list(got[i]["ids"]) == library.encode(t or "") and got[i]["roundtrip"] and got[i]["n_tokens"] == len(got[i]["ids"])
     plain = pieces.load()
     assert pieces.encode(odd(spark), plain).where("roundtrip").count() == 12 and pieces.encode(empty(spark), plain).count() == 0
-    table = {p: (i, s) for p, i, s in plain.pieces}
-    rule = (plain.bytes_from, plain.unknown, plain.unknown_score)
-    for r in pieces.encode(docs(spark, texts), plain).collect():
-        slow = [i for u in pieces.units(texts[r["id"]]) for i in pieces.fold(u, table, plain.longest, rule)]
-        assert list(r["ids"]) == slow
+    for frequent in (1000, 3, 0):
+        for r in pieces.encode(d.repartition(3), plain, frequent=frequent).collect():
+            assert list(r["ids"]) == [i for u in pieces.units(texts[r["id"]]) for i in slow_path(u, plain)]
 
 
 def test_pieces_must_not_cross_units(tmp_path):
