@@ -24,8 +24,8 @@ from .common import partitions, prepare, sliced
 NAMES, DIGITS = 64, 12
 #: Code points that are parsed together.
 PORTION = 1_000_000
-#: Texts of fewer code points count names of the first level too.
-SHORT = 256
+#: Names of the first level weigh an eighth of what they cover, so that they count most where there are few others.
+FIRST_LEVEL = np.uint64(3)
 #: Multipliers of a phrase's places.
 _PLACES = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,8 +87,8 @@ def _level(sym: np.ndarray, first: np.ndarray, size: np.ndarray | None) -> tuple
 def sketches(texts: list[str], names: int = NAMES) -> list[np.ndarray]:
     """For each text its ``names`` least ranks, ascending; none for an empty text.
 
-    A name's rank is its hash over its weight, so the ranks of one text mean the same in
-    another. Names of the first level count in short texts only.
+    A name's rank is its hash over its weight, the characters it covers, so the ranks of one
+    text mean the same in another.
     """
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -98,33 +98,42 @@ def sketches(texts: list[str], names: int = NAMES) -> list[np.ndarray]:
     owner = np.flatnonzero(length)
     first = np.zeros(len(sym), bool)
     first[(np.cumsum(length) - length)[owner]] = True
-    bound = np.minimum(2.0**64 * 8 * names / np.maximum(length, 1), 1.8e19).astype(np.uint64)
-    size, got, whose, level = None, [], [], 0
+    size, ranks, whose = None, [], []
     while len(sym):
         sym, first, size = _level(sym, first, size)
-        level += 1
         count = np.diff(np.flatnonzero(first), append=len(sym))
-        text, alone = np.repeat(owner, count), np.repeat(count == 1, count)
+        alone = np.repeat(count == 1, count)
         weight = size.astype(np.uint64)
-        use = np.arange(len(sym))
-        if level == 1:
-            use = np.flatnonzero((length[text] < SHORT) | alone)
-            weight = np.where(alone, weight, np.maximum(weight >> np.uint64(3), 1))
-        rank = _mix(sym[use] + _A) // weight[use]
-        # far more than can be among the least
-        near = rank <= bound[text[use]]
-        got.append(rank[near])
-        whose.append(text[use][near])
+        if not ranks:
+            weight = np.where(alone, weight, np.maximum(weight >> FIRST_LEVEL, 1))
+        ranks.append(_mix(sym + _A) // weight)
+        whose.append(np.repeat(owner, count))
         owner = owner[count > 1]
         sym, first, size = sym[~alone], first[~alone], size[~alone]
-    rank, text = np.concatenate(got), np.concatenate(whose)
-    order = np.lexsort((rank, text))
+    rank, text = np.concatenate(ranks), np.concatenate(whose)
+    # the least are nearly always below this; a text for which too few are is sorted whole
+    bound = np.minimum(2.0**64 * 4 * names / np.maximum(length, 1), 1.8e19).astype(np.uint64)
+    near = rank <= bound[text]
+    got = _least(rank[near], text[near], len(texts), names)
+    again = np.array([len(g) < names for g in got]) & (np.bincount(text[~near], minlength=len(texts)) > 0)
+    if again.any():
+        pick = again[text]
+        for i, g in enumerate(_least(rank[pick], text[pick], len(texts), names)):
+            if again[i]:
+                got[i] = g
+    return [g >> np.uint64(16) for g in got]
+
+
+def _least(rank: np.ndarray, text: np.ndarray, texts: int, names: int) -> list[np.ndarray]:
+    """Each text's least distinct ranks, ascending."""
+    order = np.argsort(rank, kind="stable")
+    order = order[np.argsort(text[order], kind="stable")]
     rank, text = rank[order], text[order]
     once = np.ones(len(rank), bool)
     once[1:] = (rank[1:] != rank[:-1]) | (text[1:] != text[:-1])
     rank, text = rank[once], text[once]
-    edge = np.searchsorted(text, np.arange(len(texts) + 1))
-    return [rank[s : min(e, s + names)] >> np.uint64(16) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+    edge = np.searchsorted(text, np.arange(texts + 1))
+    return [rank[s : min(e, s + names)] for s, e in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def fingerprint(sketch: np.ndarray) -> str:

@@ -418,6 +418,81 @@ def test_phrases_dont_depend_on_the_offset():
     assert all(len(s) for s in phrases.sketches(["a", "aa", "a" * 70_000, "ab" * 5000, "é😀"])) and len(phrases.sketches(["", ""])[0]) == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x ^= x >> 27
+    x = (x * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def slow_labels(sym):
+    for _ in range(4):
+        new = []
+        for i, x in enumerate(sym):
+            d = (x ^ sym[i - 1]) if i else (x | 1)
+            low = (d & -d).bit_length() - 1
+            new.append(2 * low + (x >> low & 1))
+        sym = new
+    return sym
+
+
+def slow_sketch(text, names=64):
+    """Parse one text symbol by symbol; sort all its names."""
+    sym, ranks, level, size = [ord(c) for c in text], set(), 0, [1] * len(text)
+    while sym:
+        run_sym, run_size, i = [], [], 0
+        while i < len(sym):
+            j = i
+            while j < len(sym) and sym[j] == sym[i]:
+                j += 1
+            n = j - i
+            x = sym[i] if n == 1 else sym[i] + (min(n, 1023) << 21) if level == 0 else slow_mix((sym[i] + n * 0x9E3779B97F4A7C15) & M64)
+            run_sym.append(x)
+            run_size.append(sum(size[i:j]))
+            i = j
+        lab = slow_labels(run_sym)
+        cuts = [i for i in range(len(lab)) if i == 0 or 0 < i < len(lab) - 1 and lab[i] > lab[i - 1] and lab[i] >= lab[i + 1]]
+        sym, size = [], []
+        for a, b in zip(cuts, [*cuts[1:], len(lab)], strict=True):
+            part = sum(int(phrases._PLACES[k % 64]) * x for k, x in enumerate(run_sym[a:b]))
+            sym.append(slow_mix((part + (b - a) * 0x9E3779B97F4A7C15) & M64))
+            size.append(sum(run_size[a:b]))
+        for x, n in zip(sym, size, strict=True):
+            w = max(n >> 3, 1) if level == 0 and len(sym) > 1 else n
+            ranks.add(slow_mix((x + 0x9E3779B97F4A7C15) & M64) // w)
+        level += 1
+        if len(sym) == 1:
+            break
+    return [r >> 16 for r in sorted(ranks)[:names]]
+
+
+def test_sketches_equal_a_naive_parse(sf):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(12)
+    line = "the same line of words, over and over again; "
+    texts = [t or "" for t in ODD] + [line * 50, line * 2000, "ab" * 3000, "".join(rng.choice(list("abc "), 255)), "".join(rng.choice(list("abc "), 256))]
+    texts += [t for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()[:60] if t]
+    for text, got in zip(texts, phrases.sketches(texts), strict=True):
+        assert got.tolist() == slow_sketch(text), text[:50]
+
+
+def test_repeats_and_lengths_dont_change_the_likeness():
+    line = "a line of words that stands on every page of some book, which has many pages"
+    a, b = phrases.sketches(["\n".join([line] * 50), "\n".join([line] * 5000)])
+    assert phrases.likeness(a, b) > 0.7
+    rng = np.random.default_rng(13)
+    likes = []
+    for n in (200, 254, 255, 256, 300):
+        texts = ["".join(rng.choice(list("abcdefgh ,"), n)) for _ in range(40)]
+        s = phrases.sketches([x for t in texts for x in (t, t + "x")])
+        likes.append(np.mean([phrases.likeness(s[i], s[i + 1]) for i in range(0, 80, 2)]))
+    assert max(likes) - min(likes) < 0.05 and min(likes) > 0.85
+
+
 def test_with_next(spark):
     d = docs(spark, [*ODD, "no id"], [*range(len(ODD)), None])
     got = {r["doc_id"]: r for r in phrases.with_next(d).collect()}
