@@ -35,17 +35,21 @@ l as (select *, row_number() over o as pos, (1.5::double * sum(source_size) over
 f as (select min_by(level, pos) as level from l where cap > level * w),
 t as (select source, source_size, least(cap, coalesce(f.level * w, cap)) as target from l left join f on true),
 r as (select *, case when source_size > 0 then target / source_size else 0 end as ratio from t),
-p as (select *, least(floor(ratio), 2)::bigint as whole, ratio - least(floor(ratio), 2) as p from r),
-q as (select d.doc_id, d.source, d.size, d.u, source_size, target, whole, p, p * source_size as want,
-    sum(size) over (partition by d.source order by u, doc_id, size rows between unbounded preceding and current row) as run
-  from d join p on d.source is not distinct from p.source),
-h as (select *, p > 1e-12 and run <= want as picked from q),
-g as (select source, any_value(want) - sum(case when picked then size else 0 end) as gap from h where p > 1e-12 group by source),
-c as (select h.source, first(struct_pack(doc_id := doc_id, size := size) order by abs(size - gap), u, doc_id, size) as b, first(abs(size - gap) order by abs(size - gap)) as off, any_value(gap) as gap
-  from h join g on h.source is not distinct from g.source where p > 1e-12 and not picked and size > 0 group by h.source)
+p as (select *, least(floor(ratio), 2)::bigint as whole, (ratio - least(floor(ratio), 2)) * source_size as want, ratio - least(floor(ratio), 2) > 1e-12 as open from r),
+z as (select d.source, size, count(*) as n, any_value(want) as want from d join p on d.source is not distinct from p.source where open and size > 0 group by d.source, size),
+c as (select source, size, (want - coalesce(sum(n * size) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(n * size * sqrt(size)) over (o rows between current row and unbounded following) as scale
+  from z window o as (partition by source order by size desc)),
+k as (select source, max_by(scale, size) as scale from c where scale * sqrt(size) <= 1 group by source),
+i as (select d.*, source_size, target, whole, want, open, case when open then least(1.0, k.scale * sqrt(d.size)) end as p
+  from d join p on d.source is not distinct from p.source left join k on d.source is not distinct from k.source),
+q as (select *, sum(case when open then size else 0 end) over (partition by source order by case when p > 0 then u * (1 - p) / (u * (1 - p) + p * (1 - u)) else 1 end, doc_id, size rows between unbounded preceding and current row) as run from i),
+h as (select *, coalesce(open and run <= want and p > 0, false) as picked from q),
+g as (select source, any_value(want) - sum(case when picked then size else 0 end) as gap from h where open group by source),
+e as (select h.source, first(struct_pack(doc_id := doc_id, size := size) order by abs(size - gap), u, doc_id, size) as b, first(abs(size - gap) order by abs(size - gap)) as off, any_value(gap) as gap
+  from h join g on h.source is not distinct from g.source where open and not picked and size > 0 group by h.source)
 select h.doc_id, h.size, h.source_size, h.target,
-  ((whole + picked::bigint + coalesce(c.off < c.gap and not picked and c.b.doc_id is not distinct from h.doc_id and c.b.size = h.size, false)::bigint) * h.size)::bigint as taken
-from h left join c on c.source is not distinct from h.source
+  ((whole + picked::bigint + coalesce(e.off < e.gap and not picked and e.b.doc_id is not distinct from h.doc_id and e.b.size = h.size, false)::bigint) * h.size)::bigint as taken
+from h left join e on e.source is not distinct from h.source
 """
 
 

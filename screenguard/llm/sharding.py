@@ -32,13 +32,13 @@ def hash_bits(*keys: Column) -> Column:
 
 
 def _resolve(rows: DataFrame, base: int, step: int, limit: int) -> DataFrame:
-    """(prefix, depth): for each prefix of base + step bits in ``rows``, the least depth at which its bucket fits, or null."""
+    """rows (bits, bytes) -> (prefix, depth, total): for each prefix of base + step bits the least depth at which its bucket fits, and that bucket's bytes; or nulls."""
     deep = base + step
     counted = rows.groupBy(F.substring("bits", 1, deep).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
     levels = counted.select("prefix", "bytes", F.explode(F.sequence(F.lit(base), F.lit(deep))).alias("depth")).withColumn("head", F.expr("substring(prefix, 1, depth)"))
     fits = levels.groupBy("depth", "head").agg(F.sum("bytes").alias("total")).where(F.col("total") <= limit)
-    found = levels.join(fits, ["depth", "head"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
-    return counted.select("prefix").join(found, "prefix", "left")
+    found = levels.join(fits, ["depth", "head"]).groupBy("prefix").agg(F.min(F.struct("depth", "total")).alias("at"))
+    return counted.select("prefix").join(found, "prefix", "left").select("prefix", "at.depth", "at.total")
 
 
 def shard(docs: DataFrame, size: Column, keys: tuple[str, ...] = ("doc_id",), limit: int = LIMIT, step: int = 8, bits: Column | None = None) -> DataFrame:
@@ -48,29 +48,49 @@ def shard(docs: DataFrame, size: Column, keys: tuple[str, ...] = ("doc_id",), li
     prefix is the whole table. No shard is over ``limit`` bytes, but for a single row that
     is larger, alone in its shard. Rows of one hash, such as repeated rows, are cut in the
     order of a salt. Null keys hash as a value of their own; null sizes count 0. Rows
-    without bytes go with their hash. ``docs`` needs columns other than the four added.
+    without bytes go with their hash. A column of ``docs`` of one of the four names gives way;
+    all others stay, whatever their names. No rows give no rows.
+
+    The directory is resolved on hashes and sizes alone; rows meet it at the end, a join with
+    a small table for each round. Only rows of one hash that are too many are stored.
     """
-    prepare(docs.sparkSession)
-    rows = docs.withColumn("bytes", F.coalesce(size.cast("long"), F.lit(0))).withColumn("bits", bits if bits is not None else hash_bits(*[F.col(k) for k in keys])).checkpoint()
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
-    first = min(BITS, max(step, math.ceil(math.log2(max(1.0, total / limit))) + 4))
-    done, base, left = [], 0, rows
+    spark = docs.sparkSession
+    prepare(spark)
+    mark = "shard"
+    while any(c.lower().startswith(f"__{mark}") for c in docs.columns):
+        mark += "_"
+    own = lambda name: f"__{mark}_{name}"
+    rows = docs.withColumns({own("bytes"): F.coalesce(size.cast("long"), F.lit(0)), own("bits"): bits if bits is not None else hash_bits(*[F.col(k) for k in keys])})
+    left = rows.select(F.col(own("bits")).alias("bits"), F.col(own("bytes")).alias("bytes")).checkpoint()
+    total = left.agg(F.sum("bytes")).first()[0] or 0
+    base, first, out, depths, totals, full = 0, min(BITS, max(step, math.ceil(math.log2(max(1.0, total / limit))) + 4)), rows, [], [], None
     while True:
-        known = left.withColumn("prefix", F.substring("bits", 1, base + first)).join(_resolve(left, base, first, limit), "prefix").drop("prefix").checkpoint()
-        done.append(known.where("depth is not null").withColumn("overflow", F.lit(None).cast("long")))
-        left, base, first = known.where("depth is null").drop("depth"), base + first, min(step, BITS - base - first)
-        if not left.take(1):
+        deep = base + first
+        found = _resolve(left, base, first, limit).checkpoint()
+        depths.append(own(f"depth{deep}"))
+        totals.append(own(f"total{deep}"))
+        names = found.where("depth is not null").select(F.col("prefix").alias(own(f"prefix{deep}")), F.col("depth").alias(depths[-1]), F.col("total").alias(totals[-1]))
+        out = out.join(names, F.substring(own("bits"), 1, deep) == F.col(own(f"prefix{deep}")), "left").drop(own(f"prefix{deep}"))
+        open_ = found.where("depth is null").select("prefix")
+        if not open_.take(1):
             break
+        left = left.join(open_, F.substring("bits", 1, deep) == F.col("prefix"), "left_semi").checkpoint()
+        base, first = deep, min(step, BITS - deep)
         if first <= 0:
-            done.append(_overflow(left.withColumn("depth", F.lit(BITS)), limit))
+            full = open_
             break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    name = F.expr("substring(bits, 1, depth)")
-    out = out.withColumn("shard", F.concat(name, F.coalesce(F.concat(F.lit("-"), F.col("overflow")), F.lit("")))).drop("bits", "overflow")
-    sums = out.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"))
-    return out.join(sums, "shard").select(*docs.columns, "shard", "depth", "bytes", "shard_bytes")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "depth", "bytes", "shard_bytes")]
+    out = out.where(F.coalesce(*depths).isNotNull())
+    out = out.withColumns({own("depth"): F.coalesce(*depths), own("total"): F.coalesce(*totals)})
+    last = lambda shard, depth, total: [shard.alias("shard"), depth.alias("depth"), F.col(own("bytes")).alias("bytes"), total.alias("shard_bytes")]
+    done = out.select(*keep, *last(F.expr(f"substring({own('bits')}, 1, {own('depth')})"), F.col(own("depth")), F.col(own("total"))))
+    if full is None:
+        return done
+    many = rows.join(full.select(F.col("prefix").alias(own("bits"))), own("bits"), "left_semi")
+    row = F.struct(*rows.columns).alias("row")
+    over = _overflow(many.select(row, F.col(own("bits")).alias("bits"), F.col(own("bytes")).alias("bytes")), limit).withColumn("shard", F.concat("bits", F.lit("-"), F.col("overflow"))).checkpoint()
+    over = over.join(over.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes")), "shard").select("row.*", F.col("shard").alias(own("name")), F.col("shard_bytes").alias(own("sum")))
+    return done.union(over.select(*keep, *last(F.col(own("name")), F.lit(BITS), F.col(own("sum")))))
 
 
 def _overflow(left: DataFrame, limit: int) -> DataFrame:

@@ -98,6 +98,23 @@ def test_mix_near_targets(spark):
     assert copied.columns == d.columns and copied.count() == sum(r["copies"] for r in rows)
 
 
+def test_pareto_sampling_is_unequal(spark):
+    """Over seeds, documents are drawn about as often as their inclusion probabilities say, larger ones more often."""
+    rng = np.random.default_rng(14)
+    sizes = rng.integers(1, 400, 120)
+    d = docs(spark, ["w " * int(n) for n in sizes], source=lambda k: "a" if k < 100 else "b")
+    times, p = np.zeros(120), None
+    for seed in range(15):
+        rows = sorted(mixing.mix(d, weights=(2, 1), share=0.4, seed=seed, ranges=8).collect())
+        times += [r["copies"] for r in rows]
+        p = np.array([r["p"] for r in rows])
+        for name, part in (("a", rows[:100]), ("b", rows[100:])):
+            assert abs(sum(r["taken"] for r in part) - part[0]["target"]) < 400, name
+            assert sum(r["p"] * r["size"] for r in part) == pytest.approx(part[0]["target"])
+    assert 0 < p.min() < 0.5 * p.max() and np.corrcoef(times / 15, p)[0, 1] > 0.75
+    assert abs((times / 15 - p).mean()) < 0.05 and np.abs(times / 15 - p).max() < 0.55
+
+
 def test_targets_fill_up(spark):
     d = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 4)], "source string, size bigint")
     got = {r["source"]: r["target"] for r in mixing.source_targets(d).collect()}
@@ -133,6 +150,15 @@ def test_shards_fit(spark):
             assert sum(b for m, b in total.items() if m.startswith(n[:-1])) > 20_000
 
 
+def test_shards_with_clashing_names(spark):
+    d = spark.createDataFrame([(i, "t" * (i % 900), "a", "b", 7, "c", "d", "e") for i in range(3000)], "doc_id bigint, text string, bits string, prefix string, bytes int, shard string, __shard_bits string, total string")
+    got = sharding.shard(d, F.octet_length("text"), limit=20_000)
+    assert got.columns == ["doc_id", "text", "bits", "prefix", "__shard_bits", "total", "shard", "depth", "bytes", "shard_bytes"]
+    rows = got.collect()
+    assert len(rows) == 3000 and max(r["shard_bytes"] for r in rows) <= 20_000 and all((r["bits"], r["prefix"], r["total"], r["bytes"]) == ("a", "b", "e", len(r["text"])) for r in rows)
+    assert sharding.shard(odd(spark), F.octet_length("text"), limit=50_000).count() == 12
+
+
 def test_shards_of_one_key(spark):
     rows = [(7, "a" * 100)] * 300 + [(8, "b" * 5000)] + [(None, None)] * 5
     got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), F.octet_length("text"), limit=1000).collect()
