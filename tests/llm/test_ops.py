@@ -71,9 +71,29 @@ def test_error_bounds_hold():
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
     rot = ann.rotation(64)
-    block = ann.Block(np.arange(2000), x, rot, 3.0)
-    est, norm = block.estimate(q)
-    assert (np.abs(est - q @ x.T) <= norm[:, None] * block.spread).mean() > 0.995 and np.allclose(rot @ rot.T, np.eye(64))
+    block = ann.Block(np.arange(2000), x, *ann.encode(x, rot), rot)
+    est, bound = block.estimate(q)
+    assert (np.abs(est - q @ x.T) <= bound).mean() > 0.995 and np.allclose(rot @ rot.T, np.eye(64))
+    # the same from unpacked signs: only the query's rounding differs
+    signs = np.where((x / np.linalg.norm(x, axis=1)[:, None]) @ rot > 0, 1.0, -1.0)
+    assert np.abs(est - (q @ rot) @ signs.T * block.scale).max() < 0.05 * np.abs(est).max()
+
+
+@pytest.mark.parametrize("dim", [3, 64, 100])
+def test_codes_of_any_length(dim):
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((500, dim)), rng.standard_normal((5, dim))
+    block = ann.Block(np.arange(500), x, *ann.encode(x, ann.rotation(dim)), ann.rotation(dim))
+    for who, at, score in ann.search_block(block, np.arange(1000, 1005), q, 10):
+        for i in range(5):
+            want = np.argsort(-(x @ q[i]))[:10]
+            assert len(set(at[who == 1000 + i]) & set(want)) >= 9
+
+
+def test_repeated_query_ids(spark):
+    v = vectors(spark, [(0, [1.0, 0.0], 0, 0.0, 0), (0, [0.0, 1.0], 0, 0.0, 0), (3, [2.0, 1.0], 0, 0.0, 0), (3, [2.0, 1.0], 0, 0.0, 0), (4, [1.0, 3.0], 0, 0.0, 0)])
+    got = sorted(map(tuple, ann.nearest(v, v.where("vec_id = 0")).collect()))
+    assert got == [(0, 1, 4, 3.0), (0, 2, 3, 1.0), (0, 3, 3, 1.0)]
 
 
 # ---- op2 ------------------------------------------------------------------------------
