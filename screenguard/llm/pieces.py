@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,6 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +47,10 @@ PORTION = 2_000_000
 UNKNOWN_PENALTY = 10.0
 #: Zipf's offset of ranks, and the charge for each piece.
 ZIPF, CHARGE = 2.7, 3.0
-_PLACES = np.random.default_rng(29).integers(1 << 62, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Base of the hash of short units, and its inverse modulo 2 ** 64 (any odd number serves).
+_BASE = 0x9E3779B97F4A7C15
+#: Characters that one table of the base's powers covers.
+_SPAN = 1 << 20
 
 
 @dataclass
@@ -127,14 +130,49 @@ def _kinds() -> np.ndarray:
     return kind
 
 
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.ones(_SPAN + WINDOW, np.uint64)
+        done = 1
+        while done < len(p):  # p[i + done] = p[i] * base ** done
+            more = min(done, len(p) - done)
+            p[done : done + more] = p[:more] * np.uint64(pow(base, done, 1 << 64))
+            done += more
+        out.append(p)
+    return out[0], out[1]
+
+
 def hashes(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of code points."""
-    place = np.arange(len(code), dtype=np.int32)
-    place -= np.repeat(start.astype(np.int32), size)
-    place &= len(_PLACES) - 1
-    h = np.add.reduceat(_PLACES[place] * (code.astype(np.uint64) + np.uint64(1)), start) + size.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * _PLACES[0]
-    return h ^ (h >> np.uint64(29))
+    """64-bit hashes of the runs of code points: polynomials of short ones, from sums up to each place; XXH64 of others."""
+    power, back = _powers()
+    h = np.empty(len(start), np.uint64)
+    edge = np.searchsorted(start, np.arange(0, len(code) + _SPAN, _SPAN))
+    for i, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        if s == e:
+            continue
+        at = i * _SPAN
+        part = code[at : at + _SPAN + WINDOW]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint32(1)) * power[: len(part)], out=total[1:])
+        low = start[s:e] - at
+        h[s:e] = (total[np.minimum(low + size[s:e], len(part))] - total[low]) * back[low]
+    h += size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    for i in np.flatnonzero(size > WINDOW).tolist():
+        h[i] = xxhash.xxh64_intdigest(code[start[i] : start[i] + size[i]].tobytes())
+    return h
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, ascending; the place of one of each; how many of each)."""
+    order = np.argsort(h)
+    ranked = h[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(h) else np.empty(0, np.int64)
+    return ranked[first], order[first], np.diff(first, append=len(h))
 
 
 class Units:
@@ -189,27 +227,32 @@ def unit_counts(docs: DataFrame) -> DataFrame:
     """docs (text) -> (unit, n, size): every distinct unit, how often it stands in all texts, and its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
+        seen, count, names = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, object)
 
         def out() -> pa.RecordBatch:
-            keys = sorted(sums)
-            found = pa.record_batch([pa.array(keys, pa.string()), pa.array([sums[k] for k in keys], pa.int64()), pa.array([len(k) for k in keys], pa.int64())], ["unit", "n", "size"])
-            sums.clear()
-            return found
+            units = pa.array(names, pa.string())
+            return pa.record_batch([units, pa.array(count), pc.utf8_length(units).cast(pa.int64())], ["unit", "n", "size"])
 
         for b in sliced(batches, "text", PORTION):
             cut = Units(b.column(0).to_pylist())
-            _, first, count = np.unique(cut.hash, return_index=True, return_counts=True)
-            for u, n in zip(cut.strings(first), count.tolist(), strict=True):
-                sums[u] += n
-            if len(sums) > HELD:
+            h, first, n = distinct(cut.hash)
+            at = np.searchsorted(seen, h)
+            known = np.zeros(len(h), bool)
+            known[at < len(seen)] = seen[at[at < len(seen)]] == h[at < len(seen)]
+            count[at[known]] += n[known]
+            new = ~known
+            fresh = np.array([*cut.strings(first[new]), None], object)[:-1]
+            place = at[new]
+            seen, count, names = np.insert(seen, place, h[new]), np.insert(count, place, n[new]), np.insert(names, place, fresh)
+            if len(seen) > HELD:
                 yield out()
-        yield out()
+                seen, count, names = seen[:0], count[:0], names[:0]
+        if len(seen):
+            yield out()
         release()
 
     spark = docs.sparkSession
     raw = docs.select("text").mapInArrow(run, "unit string, n long, size long")
-    # size is summed up, not a key: so that a condition on it stays above the one shuffle that all readers share
     return raw.repartition(partitions(spark), "unit").groupBy("unit").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
 
@@ -222,13 +265,14 @@ def _edges(windows: DataFrame, model: PieceModel) -> DataFrame:
     the model's, whatever the corpus.
     """
     spark = windows.sparkSession
-    table = F.broadcast(spark.createDataFrame([(p, i, s) for p, i, s in model.pieces], "piece string, piece_id int, score double"))
+    table = spark.createDataFrame([(p, i, s) for p, i, s in model.pieces], "piece string, piece_id int, score double")
+    table = F.broadcast(table.withColumn("piece_hash", F.xxhash64("piece")))  # a long joins faster than a string
     keep = [c for c in windows.columns if c not in ("body", "skip", "pad")]
     at = windows.withColumn("s", F.explode(F.expr("sequence(0, cast(length(body) as int) - 1)")))
     sub = at.withColumn("k", F.explode(F.expr(f"sequence(1, least({model.longest}, cast(length(body) as int) - s))"))).where("s + k > skip")
     sub = sub.select(*keep, "k", F.expr("pad + s + k").alias("e"), F.expr("pad + s").alias("s"), F.expr("substring(body, s + 1, k)").alias("sub"))
-    edges = sub.join(table, sub["sub"] == table["piece"], "left").where("piece_id is not null or k = 1")
-    return edges.select(*keep, F.struct("e", "s", F.expr("coalesce(piece_id, -1 - ascii(sub))").alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("p")).alias("edge"))
+    edges = sub.join(table, F.xxhash64("sub") == table["piece_hash"], "left").withColumn("piece_id", F.expr("if(sub = piece, piece_id, null)")).where("piece_id is not null or k = 1")
+    return edges.select(*keep, F.struct("e", "s", F.expr("coalesce(piece_id, -1 - ascii(sub))").alias("id"), F.when(F.col("piece_id").isNotNull(), F.col("score")).otherwise(F.lit(model.unknown_score)).alias("p")).alias("edge"))
 
 
 _PLACES_TYPE = "array<struct<e: int, s: int, id: int, p: double>>"
@@ -280,7 +324,7 @@ def _plain(model: PieceModel) -> Column:
 
 
 def segment(found: DataFrame, model: PieceModel) -> DataFrame:
-    """found (unit, n, size) -> (unit, n, ids): the lattice of every unit, folded.
+    """found (unit, n, size), distinct and stored -> (unit, n, ids): the lattice of every unit, folded.
 
     A unit is cut into windows of WINDOW characters; an edge belongs to the window that it
     ends in, so that no group of edges is large, and the fold carries the last scores from
@@ -289,7 +333,7 @@ def segment(found: DataFrame, model: PieceModel) -> DataFrame:
     """
     spark = found.sparkSession
     width, overlap = max(WINDOW, model.longest), model.longest - 1
-    one = found.where(F.col("size") <= width).select("unit", "n", "size", F.col("unit").alias("body"), F.lit(0).alias("skip"), F.lit(0).alias("pad"))
+    one = found.where(F.col("size") <= width).repartition(partitions(spark), "unit").select("unit", "n", "size", F.col("unit").alias("body"), F.lit(0).alias("skip"), F.lit(0).alias("pad"))
     one = _edges(one, model).groupBy("unit").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list("edge")).alias("edges"))
     one = one.select("unit", "n", _fold_one("edges").alias("ids"))
     cut = F.expr(f"transform(parts, (p, w) -> struct(w as w, if(w = 0, p, concat(right(parts[w - 1], {overlap}), p)) as body, if(w = 0, 0, {overlap}) as skip, if(w = 0, {overlap}, 0) as pad))")
@@ -306,22 +350,37 @@ def segment(found: DataFrame, model: PieceModel) -> DataFrame:
 
 
 class Dictionary:
-    """Ids of the frequent units by hash, in sorted arrays."""
+    """Ids of the frequent units by hash, in a table of open addresses."""
 
     def __init__(self, names: list[str], edge: np.ndarray, flat: np.ndarray):
         """edge: where in ``flat`` each unit's ids begin, and where the last one's end."""
         size = np.fromiter(map(len, names), np.int64, len(names))
         code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
         h = hashes(code, np.cumsum(size) - size, size) if len(code) else np.empty(0, np.uint64)
-        order = np.argsort(h)
-        self.hash, self.size, self.start, self.flat = h[order], np.diff(edge)[order].astype(np.int64), edge[:-1][order].astype(np.int64), flat
+        self.hash, self.size, self.start, self.flat = h, np.diff(edge).astype(np.int64), edge[:-1].astype(np.int64), flat
+        self.slots = np.full(1 << max(4, (4 * len(h)).bit_length()), -1, np.int32)
+        left = np.arange(len(h))
+        slot = self._slot(h)
+        while len(left):  # into the next slot until it is free
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes, -1 for one that isn't there."""
-        if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, at, -1)
+        slot = self._slot(h)
+        at = self.slots[slot]
+        if len(self.hash):
+            wrong = np.flatnonzero((at >= 0) & (self.hash[at] != h))
+            while len(wrong):
+                slot[wrong] = (slot[wrong] + 1) & (len(self.slots) - 1)
+                at[wrong] = self.slots[slot[wrong]]
+                wrong = wrong[(at[wrong] >= 0) & (self.hash[at[wrong]] != h[wrong])]
+        return at
 
 
 def _frequent(spark: SparkSession, coded: DataFrame, most: int):
@@ -358,8 +417,8 @@ def _rare(cut: Units, known: Dictionary) -> tuple[np.ndarray, np.ndarray, np.nda
     """Places in the dictionary of all units; the first of each distinct unit that it lacks; which of those stands where."""
     at = known.find(cut.hash)
     missing = np.flatnonzero(at < 0)
-    _, first, which = np.unique(cut.hash[missing], return_index=True, return_inverse=True)
-    return at, missing[first], which
+    h, first, _ = distinct(cut.hash[missing])
+    return at, missing[first], np.searchsorted(h, cut.hash[missing])
 
 
 def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -382,7 +441,9 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if d._jdf.queryExecution().toRdd().outputDeterministicLevel().toString() != "DETERMINATE":
         d = stored(d)
-    coded = stored(segment(unit_counts(d), model))
+    found = stored(unit_counts(d))
+    reclaim(spark)
+    coded = stored(segment(found, model))
     common, whole = _frequent(spark, coded, frequent)
     reclaim(spark)
     by_id = model.by_id
