@@ -72,13 +72,13 @@ from x join t using (depth, head) group by doc_id, bytes
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("id", 5) != 0)
-    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(remainder("id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, remainder("id", 3) != 1)
-    return langid.identify(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.identify(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(remainder("id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

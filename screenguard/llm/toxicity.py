@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import prepare, release, sliced
@@ -26,8 +25,8 @@ from .simhash import shingle_hashes
 #: Labelled documents of each class that the sample has on average at most; the bound of the fit.
 TOXIC_ROWS, OTHER_ROWS = 6_000, 8_000
 FOLDS = 3
-#: Entries of a lexicon; the strongest stay.
-ENTRIES = 4_000
+#: Parts of the sample: each is scored by trees that the others trained, and those scores calibrate.
+PARTS = 4
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Share of toxic documents, at equal classes, that an entry of each tier has at least.
 TIERS = (0.95, 0.8)
@@ -77,7 +76,7 @@ def lexicon(counts: Iterable[tuple[str, int, int]], toxic: float, other: float)
         for n in BEGINNINGS:
             if n < len(t.rstrip("*")):
                 longer[t[:n]] = max(longer.get(t[:n], 0), a)
-    keep = [x for x in scored if x[1][-1] != "*" or longer.get(x[1][:-1], 0) < 0.9 * x[3]][:ENTRIES]
+    keep = [x for x in scored if x[1][-1] != "*" or longer.get(x[1][:-1], 0) < 0.9 * x[3]]
     return Lexicon({t: k for _, t, k, _ in keep if t[-1] != "*"}, {t[:-1]: k for _, t, k, _ in keep if t[-1] == "*"})
 
 
@@ -93,6 +92,22 @@ def likeness_keys(text: str, keys: int = 3) -> list[int]:
         return [int((h * np.uint64(2 * k * 0x9E3779B97F4A7C15 % (1 << 64) + 1)).min() >> np.uint64(1)) if len(h) else 0 for k in range(keys)]
 
 
+def later_copies(ids: list, y: np.ndarray, keys: list[list[int]]) -> list:
+    """Ids of rows that share most of their keys with one row of the same class and a smaller id."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    held: dict[tuple, list[int]] = {}  # rows that stay, by key
+    out = []
+    for i in order:
+        own = [(int(y[i]), k, x) for k, x in enumerate(keys[i])]
+        same = Counter(j for key in own for j in held.get(key, ()))
+        if any(2 * n > len(own) for n in same.values()):
+            out.append(ids[i])
+        else:
+            for key in own:
+                held.setdefault(key, []).append(i)
+    return out
+
+
 class Analyser:
     """Features of whole texts; analyses of tokens are kept, as a bounded table."""
 
@@ -232,11 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     Each class is sampled by a hash of the id, at a rate that gives the stated rows on
     average, or taken whole if it has fewer. Only the sample's ids are broadcast; the
-    driver gets counts of at most ENTRIES x 50 tokens and a row of features a document.
-    A document with labels that differ counts as toxic. Of near copies in the sample only
-    the one of the smallest id is learnt from.
+    driver gets, of the sample, three keys and a row of features a document, and counts of the
+    tokens that at least four toxic documents hold. A document with labels that differ counts
+    as toxic. Of near copies of one class in the sample (two of three min-hashes equal) only
+    the one of the smallest id is learnt from. Null texts, and null ids, aren't learnt from;
+    repeated rows of one id are learnt from as often; other columns are ignored.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y")).where(learn)
     size = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(size) < 2:
@@ -251,12 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            yield pa.record_batch([b.column(0), pa.array([likeness_keys(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "k"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([likeness_keys(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "y", "k"])
 
     # of copies and near copies one stays: else the words of a copied text look like a lexicon
-    keys = rows.mapInArrow(keyed, f"id {kind}, k array<long>").select("id", *[F.col("k")[i].alias(f"k{i}") for i in range(3)])
-    first = keys.select("id", F.greatest(*[F.min("id").over(W.partitionBy(f"k{i}")) != F.col("id") for i in range(3)]).alias("copy")).where("not copy")
-    rows = rows.join(F.broadcast(first), "id", "left_semi").checkpoint()
+    keys = rows.mapInArrow(keyed, f"id {kind}, y int, k array<long>").toArrow()
+    copies = later_copies(keys["id"].to_pylist(), keys["y"].to_numpy(), keys["k"].to_pylist())
+    if copies:
+        rows = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in copies], f"id {kind}")), "id", "left_anti").checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
@@ -281,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     if not all_toxic or not all_other:
         return None
     odds = (toxic / all_toxic) / (toxic / all_toxic + other / all_other)
-    picked = counts.where((toxic >= 4) & (odds >= TIERS[-1] - 0.1)).orderBy(F.desc(toxic - other), "token").limit(ENTRIES * 50).toArrow()
+    picked = counts.where((toxic >= 4) & (odds >= TIERS[-1] - 0.1)).toArrow().sort_by("token")
     tokens = picked["token"].to_pylist()
     seen = np.stack([picked[f"c{c}"].to_numpy() for c in range(2 * FOLDS)])
 
@@ -301,14 +320,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     got = rows.mapInArrow(features, f"id {kind}, y int, x array<double>").toArrow().sort_by("id")
     x, y = np.array(got["x"].to_pylist()), np.array(got["y"].to_pylist(), float)
-    calibrate = np.random.default_rng(11).random(len(y)) < 0.25 if len(y) >= 200 else np.ones(len(y), bool)
-    part = ~calibrate if len(y) >= 200 else calibrate
-    trees = Boosted().fit(x[part], y[part])
+    # every row is calibrated with by a score of trees that didn't see it, at any size
+    part, raw = np.random.default_rng(11).permutation(len(y)) % PARTS, np.zeros(len(y))
+    for k in range(PARTS):
+        if (part == k).any():
+            raw[part == k] = Boosted().fit(x[part != k], y[part != k]).raw(x[part == k]) if (part != k).any() else 0.0
+    trees = Boosted().fit(x, y)
     weight = np.where(y > 0, 1 / rate[1], 1 / rate[0])
     whole = without(None)
     del got, picked
     release()
-    return ToxicityModel(whole, trees, isotonic(trees.raw(x[calibrate]), y[calibrate], weight[calibrate]))
+    return ToxicityModel(whole, trees, isotonic(raw, y, weight))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,7 +352,11 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't predicted toxic; all rows without a model."""
+    """The rows of ``docs``, all columns, that aren't predicted toxic; all rows without a model.
+
+    Null and empty texts are scored like any other; repeated rows share their verdict; ids
+    aren't looked at; no rows give no rows.
+    """
     prepare(docs.sparkSession)
     place = docs.columns.index(text_col)
 

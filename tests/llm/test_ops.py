@@ -247,6 +247,59 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0 and toxicity.keep_clean(odd(spark), model).columns == odd(spark).columns
 
 
+def test_language_brute_force():
+    """A text's mean table row, n-gram by n-gram."""
+    rng = np.random.default_rng(15)
+    table = rng.standard_normal((256, 3)).astype(np.float32)
+    for text in ("Ab cd", "é", "one two three", "12", "", "a1b"):
+        rows = []
+        low = text.lower()
+        for n in langid.GRAMS:
+            for i in range(-1, len(low) - n + 2):
+                gram = [(ord(low[j]) if 0 <= j < len(low) and low[j].isalpha() else 0) for j in range(i, i + n)]
+                # letters throughout, but for a space before the first or after the last
+                if all(gram[1:-1]) and (gram[0] or gram[-1]):
+                    h = n
+                    for c in gram:
+                        m = c * 2654435761 % (1 << 32)
+                        h = (h ^ m ^ (m >> 15)) * 16777619 % (1 << 32)
+                    rows.append(table[(h ^ (h >> 16)) & 255])
+        mean, _ = langid._per_text(table, [text])
+        assert np.allclose(mean[0], np.mean(rows, 0) if rows else 0, atol=1e-6), text
+
+
+def test_no_model_keeps_all(spark):
+    assert langid.keep_identified(odd(spark), None).count() == 12 and toxicity.keep_clean(odd(spark), None).count() == 12
+
+
+def test_language_of_few_rows(spark):
+    for n in (1, 2, 6):
+        model = langid.fit(made_up(spark, n), F.lit(True))
+        assert langid.identify(odd(spark), model).where("score between 0 and 1").count() == 12
+
+
+def test_later_copies():
+    y = np.array([0, 0, 1, 0, 1, 0])
+    keys = [[1, 2, 3], [1, 2, 9], [1, 2, 3], [1, 8, 7], [1, 2, 4], [5, 6, 3]]
+    assert toxicity.later_copies([10, 11, 12, 13, 14, 15], y, keys) == [11, 14]
+    assert toxicity.later_copies([], np.array([]), []) == []
+
+
+def test_features_by_hand():
+    lex = toxicity.Lexicon({"jerk": 1, "silly": 2}, {"grumb": 1})
+    x = dict(zip(toxicity.FEATURES, toxicity.Analyser(lex).features("You JERK! a silly grumbler and j3rk, hmmm ok"), strict=True))
+    assert x["strong"] == pytest.approx(2 / 9) and x["weak"] == pytest.approx(1 / 9) and x["strong count"] == 2 and x["hidden"] == pytest.approx(1 / 9)
+    assert x["you"] == pytest.approx(1 / 9) and x["near you"] == pytest.approx(2 / 3) and x["shouted"] == pytest.approx(1 / 9) and x["repeated"] == pytest.approx(1 / 9)
+    assert x["bangs"] == pytest.approx(1 / 9) and x["broken"] == pytest.approx(1 / 9) and x["capitals"] == pytest.approx(5 / 33)
+
+
+def test_trees_by_hand():
+    """One split: the leaf values are those of the logistic loss's Newton step."""
+    x, y = np.array([[0.0], [0.0], [1.0], [1.0]]), np.array([0.0, 0, 1, 1])
+    got = toxicity.Boosted(trees=1, depth=1).fit(x, y).raw(np.array([[0.0], [1.0]]))
+    assert np.allclose(got, [-0.2 * 1 / 1.5, 0.2 * 1 / 1.5])
+
+
 def test_isotonic():
     at, value = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert value.tolist() == [0, 0, 0.5, 0.5, 1, 1] and at.tolist() == [1, 1, 2, 3, 4, 4]
