@@ -2,7 +2,8 @@
 
 Blocks of text give points, for length and commas, to the elements above them, discounted
 by the share of their text that is in links. The best container and the siblings that
-score near it are kept; elements that name themselves as furniture never count.
+score near it are kept. Elements whose tag is furniture don't count; those that only name
+themselves so don't either, unless most of the page's running text is in them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import prepare, sliced
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select datalist title noembed noframes xmp".split())
-DROP = frozenset("nav header footer aside form button dialog menu fieldset input label head legend optgroup option".split())
+DROP = frozenset("nav header footer aside form button dialog menu fieldset input head legend optgroup option".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -30,8 +31,15 @@ ENDS_P = BLOCK - frozenset("body button caption head html legend option tbody td
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of the same family ends, up to the element that holds the family.
 FAMILY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
-#: Words of a class, id or role that mark furniture, alone or as a beginning of a word.
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner bottombar breadcrumb breadcrumbs byline-share comment comments commentlist disqus consent cookie cookies cookiebar gdpr notice notices notification alert dialog disclaimer footer foot masthead header menu menubar modal nav navbar navigation newsletter outbrain overlay pager pagination popup promo promoted promotion recommend recommended related reply replies respond search searchbox share sharing shares sidebar sidenav skip skiplink social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets complementary contentinfo banner navigation".split())
+#: Words of a class, id or role that mark furniture (fixed values): of any element, and of those that hold other blocks.
+ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies cookiebar gdpr notice notices notification alert newsletter outbrain pagination popup promo promoted promotion reply replies respond share sharing shares skiplink sponsor sponsored subscribe subscription taboola".split())
+HOLDERS = ALWAYS | frozenset("bottombar dialog disclaimer footer foot masthead header menu menubar modal nav navbar navigation overlay pager recommend recommended related search searchbox sidebar sidenav skip social toolbar topbar widget widgets complementary contentinfo".split())
+#: Of those, what readers write: never the article, however long.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that name content when they come last, and words that say what an element has or lacks (fixed values).
+CONTENT = frozenset("article body content entry main page post story text wrapper container layout".split())
+HAVING = frozenset("has have with without no not is js hide show".split())
+TEXTUAL = frozenset("p pre blockquote li dd dt td th span em strong b i u a q cite code small mark h1 h2 h3 h4 h5 h6 figcaption".split())
 LISTS = frozenset("ul ol dl table section div".split())
 
 _TAG = re.compile(r"<(?:!--(?:>|->|(?P<comment>))|(?P<odd>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>)")
@@ -39,26 +47,31 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _furniture(rest: str) -> bool:
-    """Whether the attributes name or hide the element as furniture."""
+def _furniture(tag: str, rest: str) -> int:
+    """What the attributes say: 0 nothing, 1 named as furniture, 2 hidden, 3 named as readers' words."""
     if "=" not in rest and "hidden" not in rest:
-        return False
+        return 0
+    names = ALWAYS if tag in TEXTUAL else HOLDERS
+    found = 0
     for m in _ATTR.finditer(rest):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z0-9]+", _CAMEL.sub("-", value).lower())
-            if any(w in NAMES for w in words):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                words = [w for w in re.split(r"[^a-z0-9]+", _CAMEL.sub("-", name).lower()) if w]
+                if not words or words[0] in HAVING or words[-1] in CONTENT:
+                    continue
+                if any(w in names for w in (words[0], words[-1])):
+                    found = 3 if 3 == found or any(w in READERS for w in words) else 1
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return 2
+    return found
 
 
 class Page:
     """Elements in page order as parallel lists, and runs of text with their element and block."""
 
     def __init__(self, page: str):
-        self.tag, self.up, self.drop = ["html"], [-1], [False]
+        self.tag, self.up, self.drop = ["html"], [-1], [0]  # drop: 0 no, 1 by name, 2 for good
         self.runs: list[tuple[int, int, str, bool]] = []
         self._read(page)
 
@@ -163,15 +176,40 @@ class Page:
             block += name in BLOCK
             self.tag.append(name)
             self.up.append(stack[-1])
-            self.drop.append(name in DROP or name not in ("html", "body", "article", "main") and _furniture(rest))
+            said = _furniture(name, rest) if name not in ("html", "body", "article", "main") else 0
+            self.drop.append(2 if name in DROP or said > 1 else said)
             stack.append(len(self.tag) - 1)
             open_tags[name] = open_tags.get(name, 0) + 1
             links += name == "a"
 
-    def main_text(self) -> str:
-        tag, up, drop = self.tag, self.up, self.drop[:]
+    def _dropped(self) -> list[bool]:
+        """Elements that don't count: those for good, those by name that hold less than half of the running text, and all inside them."""
+        tag, up, drop = self.tag, self.up, self.drop
+        gone = [False] * len(tag)
+        for i in range(1, len(tag)):
+            gone[i] = gone[up[i]] or drop[i] == 2
+        named = [i for i in range(1, len(tag)) if drop[i] == 1 and not gone[i]]
+        if not named:
+            return gone
+        running, blocks = [0] * len(tag), [set() for _ in tag] if named else []
+        for node, block, piece, link in self.runs:
+            if not gone[node] and not link and not piece.isspace():
+                running[node] += len(piece)
+                blocks[node].add(block)
+        total = sum(running)
+        for i in range(len(tag) - 1, 0, -1):
+            running[up[i]] += running[i]
+            if len(blocks[up[i]]) < 3:
+                blocks[up[i]] |= blocks[i]
+        for i in named:
+            if not (running[i] >= 200 and 2 * running[i] > total and len(blocks[i]) > 1):
+                gone[i] = True
         for i in range(1, len(tag)):
-            drop[i] = drop[i] or drop[up[i]]
+            gone[i] = gone[i] or gone[up[i]]
+        return gone
+
+    def main_text(self) -> str:
+        tag, up, drop = self.tag, self.up, self._dropped()
         size, linked = [0] * len(tag), [0] * len(tag)
         blocks: dict[int, list] = {}
         for node, block, piece, link in self.runs:
@@ -209,15 +247,24 @@ class Page:
             elif tag[i] in ("article", "main"):
                 score[i] = score[i] * 1.5 + 1e-9
         best = max(range(len(tag)), key=lambda i: (score[i], -i)) if tag else 0
-        inside = [False] * len(tag)
+        at = best
+        while at:  # an article is kept as a whole
+            if tag[at] in ("article", "main"):
+                best = at
+                break
+            at = up[at]
+        whole = tag[best] in ("article", "main")
+        inside, says = [False] * len(tag), [tag[i] in ("p", "pre", "blockquote") and size[i] > 0 for i in range(len(tag))]
         inside[best] = True
-        for i in range(1, len(tag)):  # siblings that score near it, and plain paragraphs beside it
+        for i in range(len(tag) - 1, 0, -1):
+            says[up[i]] = says[up[i]] or says[i] and not drop[i]
+        for i in range(1, len(tag)):  # siblings that score near it, and running text beside it
             if up[i] == up[best] and i != best and not drop[i]:
-                plain = tag[i] in ("p", "pre", "blockquote") and size[i] > 80 and linked[i] < 0.25 * size[i]
-                inside[i] = plain or score[i] >= max(3.0, 0.2 * score[best]) or tag[i] in HEADINGS and size[i] > 0 and tag[best] not in ("article", "main")
+                running = says[i] and linked[i] < 0.25 * size[i] and (tag[i] == tag[best] or tag[i] in ("section", "p", "pre", "blockquote")) and not (whole and tag[i] == "div")
+                inside[i] = running or score[i] >= max(3.0, 0.2 * score[best]) or tag[i] in HEADINGS and size[i] > 0 and not whole
         for i in range(1, len(tag)):
             inside[i] = inside[i] or inside[up[i]]
-            drop[i] = drop[up[i]] or drop[i] or tag[i] in LISTS and size[i] > 0 and linked[i] > 0.66 * size[i] and i != best
+            drop[i] = drop[up[i]] or drop[i] or not whole and tag[i] in LISTS and size[i] > 0 and linked[i] > 0.66 * size[i] and i != best
         out: dict[int, list[str]] = {}
         for node, block, piece, _ in self.runs:
             if inside[node] and not drop[node]:

@@ -321,6 +321,63 @@ def test_main_text():
     assert htmltext.main_text("plain text") == "plain text"
 
 
+THREE = "<p>One long paragraph, with commas, and more, that says a lot of things about it all, over and over.</p>" * 3
+KEPT = "\n".join(["One long paragraph, with commas, and more, that says a lot of things about it all, over and over."] * 3)
+
+
+@pytest.mark.parametrize("attr", ['class="layout has-sidebar"', 'class="post with-comments"', 'id="notice-board-article"', 'class="widget"', 'class="no-ads"', 'id="main-content"'])
+def test_a_name_doesnt_outvote_the_text(attr):
+    furniture = '<div class="cookie-notice"><p>We use cookies, many of them.</p></div><div class="comments"><p>First, I say, first!</p></div>'
+    assert htmltext.main_text(f"<body>{furniture}<div {attr}>{THREE}</div></body>") == KEPT
+
+
+def test_all_of_an_article_is_kept():
+    inner = '<p class="dialog">Said A.</p><label>A label.</label><ul><li><a href=a>Link one</a><li><a href=b>Link two</a></ul>'
+    assert htmltext.main_text(f"<article>{THREE}{inner}</article>") == KEPT + "\nSaid A.\nA label.\nLink one\nLink two"
+    for tag in ("div", "section"):
+        assert htmltext.main_text(f"<div><{tag}>{THREE}</{tag}><{tag}><p>The end.</p></{tag}></div>") == KEPT + "\nThe end."
+    long_comments = '<div class="comments">' + "<p>What a page, I say, what a page, indeed, really, it is.</p>" * 20 + "</div>"
+    assert htmltext.main_text(f"<body><article>{THREE}</article>{long_comments}</body>") == htmltext.main_text(f"<article>{THREE}{long_comments}</article>") == KEPT
+
+
+def test_main_text_against_a_plain_walker():
+    """Pages put together from known parts: an independent parser collects the article's blocks."""
+    import html
+    from html.parser import HTMLParser
+
+    class Walker(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if ("data-keep", "1") in attrs:
+                self.depth = 1
+            elif self.depth and tag in ("p", "h2", "li", "div"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article" or tag == "main":
+                self.depth = 0
+
+        def handle_data(self, data):
+            if self.depth and self.blocks:
+                self.blocks[-1] += data
+
+    rng = np.random.default_rng(16)
+    word = lambda: "".join(rng.choice(list("abcdefgé&<"), rng.integers(1, 9)))
+    words = lambda n: html.escape(", ".join(word() for _ in range(n)))
+    for _ in range(60):
+        body = "".join(rng.choice([f"<p>{words(20)}</p>", f"<h2>{words(3)}</h2>", f"<ul><li>{words(8)}</li><li>{words(9)}</li></ul>", f"<p>{words(5)} <b>{words(2)}</b>\n {words(4)}</p>", f"<div><p>{words(30)}</p></div>"]) for _ in range(rng.integers(2, 9)))
+        tag = rng.choice(["article", "main"])
+        rest = [f"<nav><a href=x>{words(3)}</a></nav>", f"<div class='sidebar'><p>{words(12)}</p></div>", f"<footer>{words(6)}</footer>", f"<div id=comments><p>{words(40)}</p></div>", "<script>if (a < b) { '</p>' }</script>", f"<form><p>{words(9)}</p></form>"]
+        rng.shuffle(rest)
+        page = f"<html><body>{''.join(rest[:3])}<{tag} data-keep=1>{body}</{tag}>{''.join(rest[3:])}</body></html>"
+        walker = Walker()
+        walker.feed(page.replace("<script>if (a < b) { '</p>' }</script>", ""))
+        assert htmltext.main_text(page) == "\n".join(t for t in (" ".join(b.split()) for b in walker.blocks) if t), page
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, "x"), (3, "v", "", None), (4, "v", "<p>" + "long " * 50_000, None)]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))
