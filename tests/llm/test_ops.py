@@ -405,6 +405,45 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).where("size(notices) = 0").count() == 12 and licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_are_told_apart():
+    found = lambda text: [n["license"] for n in licenses.scan_text(text)]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    assert found(gpl.format("Affero General Public", 3)) == ["AGPL-3.0"] and found(gpl.format("General Public", 3)) == ["GPL-3.0"]
+    assert found(gpl.format("Affero General Public", 7)) == []
+    assert found("MIT. Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert found("# SPDX-License-Identifier: MIT") == ["MIT"] and found("// SPDX-License-Identifier: GPL-3.0-or-later") == ["GPL-3.0"]
+    assert found("This is not released under the MIT License.") == [] and found("It isn't licensed under CC BY 4.0.") == []
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][2]
+    assert found(two) == ["BSD-2-Clause"] and found(three) == ["BSD-3-Clause"] and found(licenses.TEMPLATES["BSD"][0]) == ["BSD"]
+
+
+def test_spans_against_all_windows():
+    """Every stretch of words of a text against every template, by edit operations alone."""
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(18)
+    plain = "the word of one and all that stands in any text about license copyright permission software terms".split()
+    short = {n: [t for t in ts if len(t.split()) < 12 and "{}" not in t] for n, ts in licenses.TEMPLATES.items()}
+    short = [(n, t) for n, ts in short.items() for t in ts]
+    for k in range(40):
+        parts, want = [], []
+        for _ in range(4):
+            parts.append(" ".join(rng.choice(plain, rng.integers(3, 25))))
+            n, t = short[rng.integers(len(short))]
+            parts.append(t)
+            want.append(n)
+        text = " ".join([*parts, "and so on"])
+        words = [w.lower() for w in licenses._TOKEN.findall(text)]
+        slow = set()
+        for n, t in short:
+            tw = [w.lower() for w in licenses._TOKEN.findall(t)]
+            for i in range(len(words) - len(tw) + 1):
+                if SequenceMatcher(None, tw, words[i : i + len(tw)], autojunk=False).ratio() == 1:
+                    slow.add((n, i))
+        got = licenses.scan_text(text)
+        assert {g["license"] for g in got} <= {n for n, _ in slow} and [g["license"] for g in got if not g["missing"]] == want, text
+
+
 def test_licenses_over_several_lines():
     for name, ts in licenses.TEMPLATES.items():
         for t in ts:
