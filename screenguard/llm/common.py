@@ -34,23 +34,26 @@ def prepare(spark: SparkSession) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and is smaller than a checkpoint.
 
-    The table goes when the driver ends.
+    The table goes when the driver ends, or with discard().
     """
     spark = df.sparkSession
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    atexit.register(discard, out)
+    return out
 
-    def remove() -> None:
-        try:
-            files.delete(place, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone
-            pass
 
-    atexit.register(remove)
-    return spark.read.parquet(path)
+def discard(df: DataFrame) -> None:
+    """Remove the table of stored(), once nothing reads it any more."""
+    try:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, reclaim, release, sliced, stored
+from .common import discard, partitions, prepare, reclaim, release, sliced, stored
 
 SPACE = "▁"
 #: Numerals that count as word characters but don't join letters (fixed values).
@@ -39,7 +39,7 @@ UNIT = re.compile(f"{SPACE}*(?:[^\\W\\d_{_NUMERALS}]+|(?:(?!{SPACE})[\\W\\d_{_NU
 #: Characters of a window of a unit; bounds the edges that are grouped in one row.
 WINDOW = 64
 #: Units of the broadcast dictionary at most, the most frequent; the others are joined.
-FREQUENT = 200_000
+FREQUENT = 400_000
 #: Distinct units that a task counts before it hands them on.
 HELD = 300_000
 #: Bytes of texts that are cut into units together, and travel in one row.
@@ -231,7 +231,9 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             units = pa.array(names, pa.string())
-            return pa.record_batch([units, pa.array(count), pc.utf8_length(units).cast(pa.int64())], ["unit", "n", "size"])
+            order = pc.sort_indices(units)  # neighbours that are alike compress better
+            units = units.take(order)
+            return pa.record_batch([units, pa.array(count).take(order), pc.utf8_length(units).cast(pa.int64())], ["unit", "n", "size"])
 
         for b in sliced(batches, "text", PORTION):
             cut = Units(b.column(0).to_pylist())
@@ -444,9 +446,10 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
     found = stored(unit_counts(d))
     reclaim(spark)
     coded = stored(segment(found, model))
+    discard(found)
     common, whole = _frequent(spark, coded, frequent)
     reclaim(spark)
-    by_id = model.by_id
+    by_id, wide = model.by_id, 2 if len(model.by_id) < 1 << 16 else 4
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each slice the units that must be joined, by number."""
@@ -455,12 +458,13 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
             cut = Units(b.column(1).to_pylist())
             _, first, _ = _rare(cut, known)
             if len(first):
-                yield pa.record_batch([pa.array(np.full(len(first), key)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(cut.strings(first), pa.string())], ["slice", "number", "unit"])
+                h = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in cut.strings(first)], np.uint64)
+                yield pa.record_batch([pa.array(np.full(len(first), key)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(h.view(np.int64))], ["slice", "number", "hash"])
         release()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each slice's rows as one row."""
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=5)
         for key, b in _slices(batches):
             b, sink = b.select([1, 2]), pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as out:
@@ -509,8 +513,8 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
                     s += 1
                 if s < e:  # answers come by number, none is left out
                     raw = b.column(2).slice(s, e - s)
-                    sizes.append(np.asarray(pc.binary_length(raw), np.int64) // 4)
-                    ids.append(np.frombuffer(b"".join(raw.to_pylist()), ">i4").astype(np.int32))
+                    sizes.append(np.asarray(pc.binary_length(raw), np.int64) // wide)
+                    ids.append(np.frombuffer(b"".join(raw.to_pylist()), f">u{wide}").astype(np.int32))
         if held is not None:
             yield out()
         release()
@@ -525,8 +529,9 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
         return d.mapInArrow(alone, schema)
     # a column, as the task's own number is another one above a union
     d = d.select(F.spark_partition_id().alias("part"), "id", "text")
-    asked = d.select("part", "text").mapInArrow(ask, "slice long, number int, unit string")
-    body = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), "")).alias("body")
-    answers = asked.join(coded.select("unit", body), "unit").select("slice", "number", "body")
+    asked = d.select("part", "text").mapInArrow(ask, "slice long, number int, hash long")
+    # units meet by XXH64, as the dictionary's do by a hash; a collision would show in roundtrip
+    body = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2 * wide, "0")), "")).alias("body")
+    answers = asked.join(coded.select(F.xxhash64("unit").alias("hash"), body), "hash").select("slice", "number", "body")
     both = d.mapInArrow(packed, "slice long, number int, body binary").union(answers)
     return both.repartition(partitions(spark), "slice").sortWithinPartitions("slice", "number").mapInArrow(texts, schema)
