@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,14 +22,18 @@ PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and give checkpoint() a shared folder.
 
-    ``spark.checkpoint.dir`` wins; a folder of our own serves only where it is unset.
+    ``spark.checkpoint.dir`` wins. Where it is unset, a local master gets a folder of its own,
+    and a cluster one in the warehouse, which all executors share.
     """
-    env = spark.sparkContext.environment
+    context = spark.sparkContext
+    env = context.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, env.get("PYTHONPATH", "")) if x)
-    if spark.sparkContext.getCheckpointDir() is None:
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="screenguard-"))
+        if not shared and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            shared = tempfile.mkdtemp(prefix="screenguard-")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/screenguard-checkpoints")
 
 
 def stored(df: DataFrame) -> DataFrame:

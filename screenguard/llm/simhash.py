@@ -1,10 +1,10 @@
 """SimHash fingerprints, a Gray-order hierarchical index over them, and near-duplicate groups.
 
 Fingerprints are sorted by Gray rank and cut into parts. A part's node is the bit
-pattern that all its fingerprints share; a fingerprint visits a part only if it differs
-from that pattern in few enough bits. Inside a part the same idea repeats: nodes of
-eight children hold the bits their members share beyond the parent's, the differences
-add up on the way down, and a whole group goes as soon as the sum passes the limit.
+pattern that all its fingerprints share. Above the parts and inside each stand nodes of
+eight children, that hold the bits their members share beyond the parent's; a fingerprint
+goes down from the root, the differences add up on the way, and a whole group goes as
+soon as the sum passes the limit. So it visits only the parts that may hold a match.
 """
 
 from __future__ import annotations
@@ -93,49 +93,57 @@ def _gray_order(fp: np.ndarray) -> np.ndarray:
 # ---- the index of one part ------------------------------------------------------------
 
 
+def _levels(lo: np.ndarray, hi: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes over neighbouring groups, from the root down: (shared bits' values, mask). lo, hi: bits all members have, bits any has."""
+    out = []
+    while len(lo) > 1 or not out:
+        cut = np.arange(0, len(lo), FANOUT)
+        lo, hi = np.bitwise_and.reduceat(lo, cut), np.bitwise_or.reduceat(hi, cut)
+        out.append((lo, ~(lo ^ hi)))
+    return out[::-1]
+
+
+def _descend(levels: list[tuple[np.ndarray, np.ndarray]], leaf: np.ndarray, mask: np.ndarray | None, q: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query's place, leaf's place) of at most ``limit`` differences under the leaf's mask (all bits if None), in portions."""
+    todo = [(0, np.arange(len(q)), np.zeros(len(q), np.int64), np.bitwise_count((q ^ levels[0][0][0]) & levels[0][1][0]).astype(np.int64))]
+    while todo:
+        level, who, node, diff = todo.pop()
+        keep = diff <= limit
+        who, node, diff = who[keep], node[keep], diff[keep]
+        if not len(who):
+            continue
+        if len(who) * FANOUT > FRONTIER and len(who) > 1:
+            half = len(who) // 2
+            todo += [(level, who[:half], node[:half], diff[:half]), (level, who[half:], node[half:], diff[half:])]
+            continue
+        above = levels[level][1][node]
+        last = level + 1 == len(levels)
+        below = leaf if last else levels[level + 1][0]
+        child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        who, diff, above = np.repeat(who, FANOUT), np.repeat(diff, FANOUT), np.repeat(above, FANOUT)
+        there = child < len(below)
+        child, who, diff, above = child[there], who[there], diff[there], above[there]
+        own = ~above if last and mask is None else (mask if last else levels[level + 1][1])[child] & ~above
+        diff = diff + np.bitwise_count((q[who] ^ below[child]) & own)
+        if last:
+            hit = diff <= limit
+            if hit.any():
+                yield who[hit], child[hit]
+        else:
+            todo.append((level + 1, who, child, diff))
+
+
 class GrayIndex:
     """Gray-ordered fingerprints under nodes of shared masked bits, and a union-find over them."""
 
     def __init__(self, fp: np.ndarray):
         self.fp = fp[_gray_order(fp)]
         self.parent = np.arange(len(fp))
-        lo, hi = self.fp, self.fp
-        self.levels = []  # from the leaves' groups up: (shared bits' values, mask)
-        while len(lo) > 1 or not self.levels:
-            cut = np.arange(0, len(lo), FANOUT)
-            lo, hi = np.bitwise_and.reduceat(lo, cut), np.bitwise_or.reduceat(hi, cut)
-            self.levels.append((lo, ~(lo ^ hi)))
-        self.levels.reverse()
+        self.levels = _levels(self.fp, self.fp)
 
     def matches(self, q: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query's place, fingerprint's place) at ``limit`` or fewer differing bits, in portions."""
-        value, mask = self.levels[0]
-        todo = [(0, np.arange(len(q)), np.zeros(len(q), np.int64), np.bitwise_count((q ^ value[0]) & mask[0]).astype(np.int64))]
-        while todo:
-            level, who, node, diff = todo.pop()
-            keep = diff <= limit
-            who, node, diff = who[keep], node[keep], diff[keep]
-            if not len(who):
-                continue
-            if len(who) * FANOUT > FRONTIER and len(who) > 1:
-                half = len(who) // 2
-                todo += [(level, who[:half], node[:half], diff[:half]), (level, who[half:], node[half:], diff[half:])]
-                continue
-            above = self.levels[level][1][node]
-            last = level + 1 == len(self.levels)
-            below = self.fp if last else self.levels[level + 1][0]
-            child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            who, diff, above = np.repeat(who, FANOUT), np.repeat(diff, FANOUT), np.repeat(above, FANOUT)
-            there = child < len(below)
-            child, who, diff, above = child[there], who[there], diff[there], above[there]
-            own = ~above if last else self.levels[level + 1][1][child] & ~above
-            diff = diff + np.bitwise_count((q[who] ^ below[child]) & own)
-            if last:
-                hit = diff <= limit
-                if hit.any():
-                    yield who[hit], child[hit]
-            else:
-                todo.append((level + 1, who, child, diff))
+        return _descend(self.levels, self.fp, None, q, limit)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         while True:
@@ -175,14 +183,15 @@ def hamming_links(fps: DataFrame, limit: int = 2, part_rows: int = PART_ROWS) ->
 
     A spanning set of the links within a part and one link for each visiting fingerprint
     that has a match: linear in the fingerprints, whatever the size of a near-copy group.
-    Only the bounds and shared patterns of the parts reach the driver.
+    Only the bounds and shared patterns of the parts reach the driver, three numbers for
+    each ``part_rows`` fingerprints; each fingerprint descends over them to its parts.
     """
     spark = fps.sparkSession
     prepare(spark)
     ranked = fps.select("fp", gray_rank(F.col("fp")).alias("rank"))
     n = ranked.count()
     parts = max(PARTS if n > PARTS else 1, -(-n // part_rows))
-    bounds = sorted(set(ranked.select(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 100 * parts).alias("b")).first()["b"] or [])) if parts > 1 else []
+    bounds = sorted(set(ranked.select(F.percentile_approx("rank", [i / parts for i in range(1, parts)], min(100 * parts, 1_000_000)).alias("b")).first()["b"] or [])) if parts > 1 else []
     cuts = np.array(bounds, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +199,25 @@ def hamming_links(fps: DataFrame, limit: int = 2, part_rows: int = PART_ROWS) ->
             yield pa.record_batch([b.column(0), pa.array(np.searchsorted(cuts, b.column(1).to_numpy()).astype(np.int32))], ["fp", "own"])
 
     placed = ranked.mapInArrow(place, "fp long, own int")
-    nodes = placed.groupBy("own").agg(F.expr("bit_and(fp)").alias("lo"), F.expr("bit_or(fp)").alias("hi")).collect()
+    nodes = sorted(placed.groupBy("own").agg(F.expr("bit_and(fp)").alias("lo"), F.expr("bit_or(fp)").alias("hi")).collect())
     part = np.array([r["own"] for r in nodes], np.int32)
-    value = np.array([r["lo"] for r in nodes], np.int64).view(np.uint64)
-    mask = ~(value ^ np.array([r["hi"] for r in nodes], np.int64).view(np.uint64))
+    lo, hi = (np.array([r[c] for r in nodes], np.int64).view(np.uint64) for c in ("lo", "hi"))
+    top = spark.sparkContext.broadcast((part, lo, ~(lo ^ hi), _levels(lo, hi) if len(lo) else []))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each fingerprint to its own part, and to later parts whose shared bits allow a match."""
-        rows = max(1, 4_000_000 // max(1, len(part)))
-        for big in batches:
-            for i in range(0, big.num_rows, rows):
-                b = big.slice(i, rows)
-                fp, home = b.column(0).to_numpy(), b.column(1).to_numpy()
-                q = fp.view(np.uint64)
-                near = np.bitwise_count((q[:, None] ^ value[None, :]) & mask[None, :]) <= limit
-                near &= part[None, :] > home[:, None]
-                who, at = np.nonzero(near)
-                yield pa.record_batch([pa.array(np.concatenate([home, part[at]])), pa.array(np.concatenate([np.zeros(len(fp), np.int8), np.ones(len(who), np.int8)])), pa.array(np.concatenate([fp, fp[who]]))], ["part", "guest", "fp"])
+        part, value, mask, levels = top.value
+
+        def rows(to: np.ndarray, guest: int, fp: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(to), pa.array(np.full(len(to), guest, np.int8)), pa.array(fp)], ["part", "guest", "fp"])
+
+        for b in batches:
+            fp, home = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield rows(home, 0, fp)
+            for i in range(0, len(fp), 4096):
+                for who, at in _descend(levels, value, mask, fp[i : i + 4096].view(np.uint64), limit):
+                    later = part[at] > home[i + who]
+                    yield rows(part[at[later]], 1, fp[i + who[later]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by part, its own fingerprints before its guests."""
