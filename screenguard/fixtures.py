@@ -17,7 +17,7 @@ select event_id, case event_id % 16
   when 8 then concat('sk-ant-',{_SH},{_MD}) when 9 then concat('xoxb-',substr({_MD},1,10),'-',substr({_SH},1,24))
   when 10 then concat('AC',{_MD}) when 11 then concat('Bearer eyJ',substr({_MD},1,17),'.',substr({_MD},1,20),'.',substr({_SH},1,30))
   when 12 then concat('export db_url = ',substr({_MD},1,15))
-  when 13 then concat('1. abandon 2. ability able about above absent ', case when event_id % 32 < 16 then 'absorb abstract' else 'xyz abstract' end)
+  when 13 then concat('1. abandon 2. ability able about above absent ', case when event_id % 32 < 16 then 'absorb abstract' when event_id % 64 < 32 then 'zoo zebra' else 'xyz abstract' end)
   when 14 then concat('order ',substr({_MD},1,29)) else concat('tok ',{_MD}) end as text
 from {{events}}"""
 
@@ -66,6 +66,10 @@ select f.stream_id, f.frame_idx, cast(floor(c.cell/4.0) as int) as cy, cast(c.ce
     cast(case when c.cell < f.frame_idx%5 then f.frame_idx else cast(floor(f.frame_idx/7.0) as bigint) end as {STR}))) as hash
 from (select user_id as stream_id, cast(row_number() over (partition by user_id order by ts, event_id)-1 as bigint) as frame_idx from {events}) f
 cross join (select * from (values (0),(1),(2),(3),(4),(5),(6),(7)) t(cell)) c""",
+    "pictures": """
+select cast(n_regionkey as bigint) as stream_id, cast(n_nationkey as bigint) as frame_idx, cast(3+n_nationkey%5 as int) as width, cast(2+n_nationkey%4 as int) as height,
+  substr(repeat(concat(md5(cast(n_nationkey as {STR})),md5(concat('x',cast(n_nationkey as {STR})))),5), 1, cast(8*(3+n_nationkey%5)*(2+n_nationkey%4) as int)) as hex
+from {nation}""",
     "anchors": """
 select vec_id%20 as frame_idx, vec_id as anchor, cast(320 as float)+{AT(1)}*cast(400 as float) as cx, cast(320 as float)+{AT(2)}*cast(400 as float) as cy,
   cast(40 as float)+abs({AT(3)})*cast(300 as float) as w, cast(40 as float)+abs({AT(4)})*cast(300 as float) as h,

@@ -16,7 +16,12 @@ def seed_bits(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def seed_phrase(text: Column, words: tuple[str, ...]) -> Column:
-    return F.contains(seed_bits(text, words), F.lit("1" * SEED_RUN))
+    """Whether SEED_RUN words of the list follow one another."""
+    sizes = [n for w in words if (n := len(w)) <= LONGEST_WORD] or [1]
+    token = rf"\p{{IsAlphabetic}}{{{min(sizes)},{max(sizes)}}}+"
+    # nearly all texts lack so many tokens of the words' lengths in a row, which costs little to see
+    may = text.rlike(rf"(?<!\p{{IsAlphabetic}})(?:{token}\P{{IsAlphabetic}}++){{{SEED_RUN - 1}}}{token}(?!\p{{IsAlphabetic}})") if all(map(str.isascii, words)) else F.lit(True)
+    return may & F.contains(seed_bits(text, words), F.lit("1" * SEED_RUN))
 
 
 def seed_range(text: Column, words: tuple[str, ...]) -> Column:
@@ -58,5 +63,7 @@ def scan(text: Column, words: tuple[str, ...]) -> Column:
 def scan_row(text: Column, words: tuple[str, ...]) -> Column:
     """Kinds of a row of recognised text: of its normalised, its raw and its collapsed form, each once."""
     thick = collapsed(text)
-    third = F.when((F.octet_length(thick) >= 16) & (thick != text), scan(thick, words)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(scan(normalised(text), words), scan(text, words), third))
+    none = F.array().cast("array<string>")
+    first = F.when(normalised(text) != text, scan(normalised(text), words)).otherwise(none)
+    third = F.when((F.octet_length(thick) >= 16) & (thick != text), scan(thick, words)).otherwise(none)
+    return F.array_distinct(F.concat(first, scan(text, words), third))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,9 @@ from .framediff import CELL
 SIGMA = 25.0
 
 
-def image(data: bytes, width: int, height: int) -> np.ndarray:
-    """(height, width, 4); a buffer of another size raises ValueError."""
+def image(data: bytes, width: int, height: int, longer: bool = False) -> np.ndarray:
+    """(height, width, 4); a buffer of another size raises ValueError, with ``longer`` only a shorter one."""
+    data = data[: width * height * 4] if longer else data
     if len(data) != width * height * 4:
         raise ValueError(f"buffer has {len(data)} bytes, {width} x {height} needs {width * height * 4}")
     return np.frombuffer(data, np.uint8).reshape(height, width, 4)
@@ -118,6 +119,21 @@ def cell_hashes(frames: DataFrame, cell: int = CELL) -> DataFrame:
     return frames.select("stream_id", "frame_idx", "width", "height", "bgra").mapInArrow(run, CELL_HASHES)
 
 
+def map_frames(frames: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Frames with their pixels changed by a function of (height, width, 4) bytes; bgra takes what it returns, as bytes."""
+    ready(frames.sparkSession)
+    names = frames.columns
+    at = [names.index(c) for c in ("width", "height", "bgra")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns)
+            cols[at[2]] = pa.array([change(image(d, w, h)).tobytes() for w, h, d in zip(*(b.column(i).to_pylist() for i in at), strict=True)], pa.binary())
+            yield pa.record_batch(cols, names)
+
+    return frames.mapInArrow(run, frames.schema)
+
+
 def blur_frames(frames: DataFrame, regions: DataFrame) -> DataFrame:
     """Frames with their regions (stream_id, frame_idx, x, y, w, h) blurred; regions in order of (y, x, h, w)."""
     from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .fixtures import sql
 from .patterns import CLASSES, DETECTORS, EDITORS, KINDS, LABELS, QR_ADDRESSES, QR_PAYMENT, QR_SEED, QR_SEED_WORDS, SEED_RUN, TERMINALS, TITLE_HINTS, WALLETS
 from .queries import DETECTOR_QUERIES, HEIGHT, THRESHOLD, WIDTH
-from .words import SAMPLE
+from .words import ENGLISH, SAMPLE
 
 
 def fx(name: str) -> str:
@@ -16,7 +16,7 @@ def _list(items: tuple[str, ...]) -> str:
     return ", ".join(f"'{x}'" for x in items)
 
 
-_WORDS = f"({_list(SAMPLE)})"
+_WORDS = f"({_list(ENGLISH)})"
 BITS = lambda t: f"array_to_string(list_transform(list_filter(regexp_split_to_array({t}, '[^\\pL]+'), lambda w: w <> ''), lambda w: case when strlen(lower(w)) <= 8 and lower(w) in {_WORDS} then '1' else '0' end), '')"
 SEED = lambda t: f"contains({BITS(t)}, '{'1' * SEED_RUN}')"
 
@@ -210,6 +210,30 @@ ORACLE: dict[str, str] = {
       from (select *, least(x * 170, {WIDTH - 1}) as bx, least(y * 48, {HEIGHT - 1}) as by_ from {fx('sticky_hits')}))""",
     "p05_letterbox": f"select p_partkey, nw as new_w, nh as new_h, ((640 - nw) // 2)::int as pad_x, ((640 - nh) // 2)::int as pad_y from (select p_partkey, {_NW} as nw, {_NH} as nh from {_SIZES})",
     "px3_preview_sizes": f"select p_partkey, least(1280, sw)::int as w, floor((sh::float * (least(1280, sw)::float / sw::float)::float)::float)::int as h from {_SIZES}",
+    "px1_swapped": f"select frame_idx, array_to_string(list_transform(range(0, width * height), lambda i: substr(hex, (8 * i + 5)::int, 2) || substr(hex, (8 * i + 3)::int, 2) || substr(hex, (8 * i + 1)::int, 2) || substr(hex, (8 * i + 7)::int, 2)), '') as bytes from {fx('pictures')}",
+    "a09_cell_hashes": f"""
+select stream_id, frame_idx, cy::int as cy, cx::int as cx, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::uhugeint,
+  flatten(list_transform(range(2 * cy, least(2 * cy + 2, height)), lambda y: list_transform(range(8 * cx, 4 * least(2 * cx + 2, width)), lambda b: ('0x' || substr(hex, (2 * (4 * y * width + b) + 1)::int, 2))::int::uhugeint)))),
+  lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint)), 16, '0') as hash
+from {fx('pictures')}, unnest(range((height + 1) // 2)) as r(cy), unnest(range((width + 1) // 2)) as q(cx)""",
+    "p03_blurred": f"""
+with p as (select frame_idx, width, height, y, x, c, ('0x' || substr(hex, (2 * (4 * (y * width + x) + c) + 1)::int, 2))::int as v from {fx('pictures')}, unnest(range(height)) as a(y), unnest(range(width)) as b(x), unnest(range(4)) as e(c)),
+k as (select d, exp(-0.5::double * (d / 25.0::double) * (d / 25.0::double)) / sum(exp(-0.5::double * (d / 25.0::double) * (d / 25.0::double))) over () as g from range(-50, 51) as t(d)),
+r as (select p.frame_idx, p.width, p.y, p.x, p.c, sum(g * o.v) as v from p, k, p o where o.frame_idx = p.frame_idx and o.x = p.x and o.c = p.c and o.y = greatest(0, least(p.height - 1, p.y + d)) group by all),
+s as (select r.frame_idx, r.y, r.x, r.c, sum(g * o.v) as v from r, k, r o where o.frame_idx = r.frame_idx and o.y = r.y and o.c = r.c and o.x = greatest(0, least(r.width - 1, r.x + d)) group by all)
+select frame_idx, y::int as y, x::int as x, c::int as c, round_even(greatest(0, least(255, v)), 0)::int as value from s""",
+    "p06_letterboxed": f"""
+with s as (select *, 8::float / greatest(width, height)::float as s from {fx('pictures')}),
+n as (select *, trunc(width::float * s)::int as nw, trunc(height::float * s)::int as nh from s),
+g as (select *, y - (8 - nh) // 2 as ty, x - (8 - nw) // 2 as tx from n, unnest(range(3)) as a(c), unnest(range(8)) as b(y), unnest(range(8)) as e(x))
+select frame_idx, c::int as c, y::int as y, x::int as x, case when ty between 0 and nh - 1 and tx between 0 and nw - 1 then
+  ('0x' || substr(hex, (2 * (4 * (least(trunc(ty::float / s)::int, height - 1) * width + least(trunc(tx::float / s)::int, width - 1)) + 2 - c) + 1)::int, 2))::int else 0 end as value from g""",
+    "px4_downscaled": f"""
+select frame_idx, y::int as y, x::int as x, ('0x' || substr(hex, (8 * (((y * height) // 2) * width + (x * width) // 3) + 1)::int, 6))::int as value
+from {fx('pictures')}, unnest(range(2)) as a(y), unnest(range(3)) as b(x)""",
+    "f01_english_words": f"select p_partkey, len(list_filter(string_split(lower(p_name), ' '), lambda w: w in {_WORDS}))::int as n from part",
+    "f01_word_count": "select 2048::bigint as n_words, 2048::bigint as n_heads, 3::int as shortest, 8::int as longest, 'abandon' as first, 'zoo' as last",
+    "sql_fnv1a64": "select p_partkey, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split(p_name, ''), lambda c: ascii(c)::uhugeint)), lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint)), 16, '0') as hash from part",
     "px4_downscale_map": f"select p_partkey, dy::int as dy, ((dy * sh) // 10)::bigint as sy from {_SIZES}, range(10) as t(dy)",
     "p07_iou": f"select stream_id, frame_idx, {IOU} as iou from (select stream_id, frame_idx, struct_pack(x := x, y := y, w := w, h := h) as a, lag(struct_pack(x := x, y := y, w := w, h := h)) over (partition by stream_id order by frame_idx) as b from {fx('sticky_hits')}) where b is not null",
     "st01_expiries": f"select *, max(frame_idx + 30) over (partition by stream_id, x, y, w, h order by frame_idx range unbounded preceding) as expiry from {KEYED}",

@@ -18,7 +18,8 @@ KEYS = ["stream_id", "frame_idx"]
 def text_hits(texts: DataFrame, words: tuple[str, ...], text: str = "text") -> DataFrame:
     """Lines of texts -> a row for each line and kind that fires."""
     lines = texts.withColumn("line", F.explode(F.split(F.col(text), "\n")))
-    return lines.withColumn("kind", F.explode(scan(F.col("line"), words)))
+    # outer: else the optimizer scans each line once more, to see whether its kinds are none
+    return lines.withColumn("kind", F.explode_outer(scan(F.col("line"), words))).where("kind is not null")
 
 
 def qr_hits(codes: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import patterns, words
 from .fixtures import table as fixture
 from .functions import detect, geometry, hashing, qr, register, text, windows
-from .operators import dataset, framediff, rows, series, sticky, vision
+from .operators import dataset, framediff, pixels, rows, series, sticky, vision
 from .plans import runs
 from .session import ready
 from .sources import readers, sinks
@@ -88,6 +88,27 @@ def snk06_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.run_summary(log.join(hits, ["stream_id", "frame_idx"], "left").fillna(0, ["hits"]))
 
 
+@query
+def f01_english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a part's words are in the list."""
+    in_list = F.filter(F.split(F.lower("p_name"), " "), lambda w: text.is_word(w, words.words(spark)))
+    return read(spark, sf_dir, "part").select("p_partkey", F.size(in_list).alias("n"))
+
+
+@query
+def f01_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list's size, its words' lengths, and how many first fours of letters they have."""
+    ready(spark)
+    d = spark.createDataFrame([(w,) for w in words.words(spark)], "word string")
+    return d.agg(F.countDistinct("word").alias("n_words"), F.countDistinct(F.substring("word", 1, 4)).alias("n_heads"), F.min(F.length("word")).alias("shortest"), F.max(F.length("word")).alias("longest"), F.min("word").alias("first"), F.max("word").alias("last"))
+
+
+@query
+def sql_fnv1a64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register.register(spark)
+    return read(spark, sf_dir, "part").select("p_partkey", F.expr("fnv1a64(p_name)").alias("hash"))
+
+
 # ---- detectors ------------------------------------------------------------------------
 
 
@@ -365,6 +386,53 @@ def px4_downscale_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", "dy", F.floor(F.col("dy") * F.col("sh") / 10).cast("long").alias("sy"))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "pictures").withColumn("bgra", F.unhex("hex")).drop("hex")
+
+
+def values(frames: DataFrame, bytes_each: int, *sizes: Column, names: tuple[str, ...]) -> DataFrame:
+    """Frames whose bgra holds numbers of ``bytes_each`` bytes, least first -> a row for each, with its place along each axis."""
+    digits = F.hex("bgra")
+    number = F.concat(*[F.substr(digits, F.col("i") * 2 * bytes_each + 1 + 2 * (bytes_each - 1 - k), F.lit(2)) for k in range(bytes_each)])
+    d = frames.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("bgra") / bytes_each - 1).cast("int")))).withColumn("value", F.conv(number, 16, 10).cast("int"))
+    place, out = F.col("i"), []
+    for size, name in reversed(list(zip(sizes, names, strict=True))):
+        out.append((place % size).cast("int").alias(name))
+        place = F.floor(place / size)
+    return d.select("frame_idx", *out, "value")
+
+
+@query
+def px1_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Red and blue exchanged, either way."""
+    return pixels.map_frames(pictures(spark, sf_dir), pixels.swapped).select("frame_idx", F.lower(F.hex("bgra")).alias("bytes"))
+
+
+@query
+def a09_cell_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.cell_hashes(pictures(spark, sf_dir), 2)
+
+
+@query
+def p03_blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pictures(spark, sf_dir)
+    whole = d.select("stream_id", "frame_idx", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return values(pixels.blur_frames(d, whole), 1, F.col("height"), F.col("width"), F.lit(4), names=("y", "x", "c"))
+
+
+@query
+def p06_letterboxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of 8 x 8 values, of 255 at most."""
+    d = pixels.map_frames(pictures(spark, sf_dir), lambda p: (pixels.letterboxed(p, 8) * 255).round().astype("uint8"))
+    return values(d, 1, F.lit(3), F.lit(8), F.lit(8), names=("c", "y", "x"))
+
+
+@query
+def px4_downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pixels.map_frames(pictures(spark, sf_dir), lambda p: pixels.downscaled(p, 3, 2).astype("<u4"))
+    return values(d, 4, F.lit(2), F.lit(3), names=("y", "x"))
+
+
 @query
 def p07_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixture(spark, sf_dir, "sticky_hits").select("stream_id", "frame_idx", F.struct(*"xywh").alias("a"))

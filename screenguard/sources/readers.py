@@ -121,7 +121,7 @@ def anchors(frames: DataFrame, model: str, size: int = 640) -> DataFrame:
         name = session.get_inputs()[0].name
         for b in batches:
             for s, f, w, h, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                out = session.run(None, {name: letterboxed(image(data, w, h), size)[None]})[0]
+                out = session.run(None, {name: letterboxed(image(data, w, h, longer=True), size)[None]})[0]
                 if out.ndim != 3:
                     raise ValueError(f"unexpected output shape {out.shape}")
                 n = out.shape[2]

@@ -22,32 +22,50 @@ from ..schemas import GATE_LOG
 from ..session import ready
 
 
-def gate_stream(frames: DataFrame, every: int = 3, threshold: float = 0.0, most_skips: int = MOST_SKIPS) -> DataFrame:
-    """Streaming frames (stream_id, frame_idx, cols, rows, cells) -> the gate's log."""
+#: Milliseconds without rows after which a key's state goes; what comes later starts anew.
+IDLE = 600_000
+
+
+def _idle(state: GroupState, idle: int) -> bool:
+    """Drop the state of a key that timed out, else let it live on for ``idle``; whether it was dropped."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    state.setTimeoutDuration(idle)
+    return False
+
+
+def gate_stream(frames: DataFrame, every: int = 3, threshold: float = 0.0, most_skips: int = MOST_SKIPS, idle: int = IDLE) -> DataFrame:
+    """Streaming frames (stream_id, frame_idx, cols, rows, cells, and failed if there is one) -> the gate's log."""
     if every < 1:
         raise ValueError("every must be at least 1")
     ready(frames.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state, idle):
+            return
         held = json.loads(state.get[0]) if state.exists else [None, None, 0]
         now = (held[0], tuple(held[1]) if held[1] else None, held[2])
         out = []
         for r in pd.concat(parts).sort_values("frame_idx").itertuples():
-            now, log = step(now, r.frame_idx, list(r.cells), (r.cols, r.rows), every, threshold, most_skips)
+            now, log = step(now, r.frame_idx, list(r.cells), (r.cols, r.rows), every, threshold, most_skips, r.failed)
             out.append((key[0], r.frame_idx, *log))
         state.update((json.dumps(now),))
         d = pd.DataFrame(out, columns=["stream_id", "frame_idx", "sampled", "changed", "should_ocr", "consecutive_skips"])
         yield d.astype({"changed": "float32"})
 
-    d = frames.select("stream_id", "frame_idx", "cols", "rows", F.col("cells").cast("array<string>").alias("cells"))
-    return d.groupBy("stream_id").applyInPandasWithState(run, GATE_LOG, "held string", "append", GroupStateTimeout.NoTimeout)
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in frames.columns else F.lit(False)
+    d = frames.select("stream_id", "frame_idx", "cols", "rows", F.col("cells").cast("array<string>").alias("cells"), failed.alias("failed"))
+    return d.groupBy("stream_id").applyInPandasWithState(run, GATE_LOG, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def sticky_stream(hits: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
+def sticky_stream(hits: DataFrame, lifetime: int = LIFETIME, idle: int = IDLE) -> DataFrame:
     """Streaming hits -> (stream_id, frame_idx, box): frames a box is newly known to be alive at, each once."""
     ready(hits.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state, idle):
+            return
         expiry = state.get[0] if state.exists else -1
         out = []
         for f in sorted(int(f) for p in parts for f in p["frame_idx"]):
@@ -57,16 +75,18 @@ def sticky_stream(hits: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
         yield pd.DataFrame(out, columns=["stream_id", "frame_idx", *BOX])
 
     d = hits.select("stream_id", "frame_idx", quantised(*[F.col(c) for c in BOX]).alias("q")).select("stream_id", "frame_idx", "q.*")
-    return d.groupBy("stream_id", *BOX).applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, x bigint, y bigint, w bigint, h bigint", "expiry bigint", "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy("stream_id", *BOX).applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, x bigint, y bigint, w bigint, h bigint", "expiry bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def delay_stream(frames: DataFrame, capacity: int, value: str) -> DataFrame:
+def delay_stream(frames: DataFrame, capacity: int, value: str, idle: int = IDLE) -> DataFrame:
     """Streaming frames -> (stream_id, frame_idx, tail): the value that leaves a buffer of ``capacity``, as text."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     ready(frames.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state, idle):
+            return
         held = list(state.get[0]) if state.exists else []
         out = []
         for r in pd.concat(parts).sort_values("frame_idx").itertuples():
@@ -76,4 +96,4 @@ def delay_stream(frames: DataFrame, capacity: int, value: str) -> DataFrame:
         yield pd.DataFrame(out, columns=["stream_id", "frame_idx", "tail"])
 
     d = frames.select("stream_id", "frame_idx", F.col(value).cast("string").alias("value"))
-    return d.groupBy("stream_id").applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, tail string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy("stream_id").applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, tail string", "held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

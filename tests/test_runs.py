@@ -60,6 +60,36 @@ def drained(s, name, spark, path):
     return spark.table(name)
 
 
+def test_gate_after_failed_recognition_as_a_stream(spark, tmp_path):
+    cells = [["a"], ["b"], ["b"], ["a"], ["a"]]
+    frames = spark.createDataFrame([(0, f, 1, 1, c, f in (1, 2)) for f, c in enumerate(cells)], "stream_id bigint, frame_idx bigint, cols int, rows int, cells array<string>, failed boolean")
+    got = drained(state.gate_stream(stream(spark, frames, str(tmp_path / "f"), 3), 1, 0.5), "failed_out", spark, str(tmp_path / "fc"))
+    want = sorted(tuple(r) for r in framediff.gate(frames, 1, 0.5).collect())
+    assert sorted(tuple(r) for r in got.collect()) == want and [w[4] for w in want] == [True, True, True, False, False]
+
+
+def test_states_of_idle_keys_go(spark, tmp_path):
+    import time
+
+    hits = lambda k: spark.createDataFrame([(k, 0, 1, 2, 3, 4)], "stream_id bigint, frame_idx bigint, x bigint, y bigint, w bigint, h bigint")
+    place = str(tmp_path / "hits")
+    hits(0).write.mode("append").parquet(place)
+    q = state.sticky_stream(spark.readStream.schema(hits(0).schema).parquet(place), idle=1000).writeStream.format("memory").queryName("idle_out").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    try:
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+        time.sleep(1.5)
+        for k in (1, 2):
+            hits(k).write.mode("append").parquet(place)
+            q.processAllAvailable()
+        assert {r["stream_id"] for r in spark.table("idle_out").collect()} == {0, 1, 2}
+        left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress if p["stateOperators"])
+        assert removed >= 1 and left[-1] <= 2
+    finally:
+        q.stop()
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = np.random.default_rng(1)
     frames = spark.createDataFrame([(s, f, 2, 2, [str(rng.integers(0, 2)) for _ in range(4)]) for s in range(2) for f in range(30)], "stream_id bigint, frame_idx bigint, cols int, rows int, cells array<string>")
