@@ -2,7 +2,9 @@
 
 Each is keyed by stream (and box), takes rows of a trigger in frame order, and gives in
 append mode what its batch twin gives over the same rows, as long as a stream's frames
-come in order from trigger to trigger.
+come in order from trigger to trigger. ``idle``: milliseconds without rows after which a
+key's state goes, and what comes later starts anew; by default it stays. With it Spark runs
+batches without rows too, so a query ends only when it is stopped.
 """
 
 from __future__ import annotations
@@ -22,12 +24,10 @@ from ..schemas import GATE_LOG
 from ..session import ready
 
 
-#: Milliseconds without rows after which a key's state goes; what comes later starts anew.
-IDLE = 600_000
-
-
-def _idle(state: GroupState, idle: int) -> bool:
-    """Drop the state of a key that timed out, else let it live on for ``idle``; whether it was dropped."""
+def _idle(state: GroupState, idle: int | None) -> bool:
+    """Drop the state of a key that timed out, else let it live on for ``idle`` milliseconds; whether it was dropped."""
+    if idle is None:
+        return False
     if state.hasTimedOut:
         state.remove()
         return True
@@ -35,7 +35,11 @@ def _idle(state: GroupState, idle: int) -> bool:
     return False
 
 
-def gate_stream(frames: DataFrame, every: int = 3, threshold: float = 0.0, most_skips: int = MOST_SKIPS, idle: int = IDLE) -> DataFrame:
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def gate_stream(frames: DataFrame, every: int = 3, threshold: float = 0.0, most_skips: int = MOST_SKIPS, idle: int | None = None) -> DataFrame:
     """Streaming frames (stream_id, frame_idx, cols, rows, cells, and failed if there is one) -> the gate's log."""
     if every < 1:
         raise ValueError("every must be at least 1")
@@ -56,10 +60,10 @@ def gate_stream(frames: DataFrame, every: int = 3, threshold: float = 0.0, most_
 
     failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in frames.columns else F.lit(False)
     d = frames.select("stream_id", "frame_idx", "cols", "rows", F.col("cells").cast("array<string>").alias("cells"), failed.alias("failed"))
-    return d.groupBy("stream_id").applyInPandasWithState(run, GATE_LOG, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return d.groupBy("stream_id").applyInPandasWithState(run, GATE_LOG, "held string", "append", _timeout(idle))
 
 
-def sticky_stream(hits: DataFrame, lifetime: int = LIFETIME, idle: int = IDLE) -> DataFrame:
+def sticky_stream(hits: DataFrame, lifetime: int = LIFETIME, idle: int | None = None) -> DataFrame:
     """Streaming hits -> (stream_id, frame_idx, box): frames a box is newly known to be alive at, each once."""
     ready(hits.sparkSession)
 
@@ -75,10 +79,10 @@ def sticky_stream(hits: DataFrame, lifetime: int = LIFETIME, idle: int = IDLE) -
         yield pd.DataFrame(out, columns=["stream_id", "frame_idx", *BOX])
 
     d = hits.select("stream_id", "frame_idx", quantised(*[F.col(c) for c in BOX]).alias("q")).select("stream_id", "frame_idx", "q.*")
-    return d.groupBy("stream_id", *BOX).applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, x bigint, y bigint, w bigint, h bigint", "expiry bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return d.groupBy("stream_id", *BOX).applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, x bigint, y bigint, w bigint, h bigint", "expiry bigint", "append", _timeout(idle))
 
 
-def delay_stream(frames: DataFrame, capacity: int, value: str, idle: int = IDLE) -> DataFrame:
+def delay_stream(frames: DataFrame, capacity: int, value: str, idle: int | None = None) -> DataFrame:
     """Streaming frames -> (stream_id, frame_idx, tail): the value that leaves a buffer of ``capacity``, as text."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -96,4 +100,4 @@ def delay_stream(frames: DataFrame, capacity: int, value: str, idle: int = IDLE)
         yield pd.DataFrame(out, columns=["stream_id", "frame_idx", "tail"])
 
     d = frames.select("stream_id", "frame_idx", F.col(value).cast("string").alias("value"))
-    return d.groupBy("stream_id").applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, tail string", "held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return d.groupBy("stream_id").applyInPandasWithState(run, "stream_id bigint, frame_idx bigint, tail string", "held array<string>", "append", _timeout(idle))
