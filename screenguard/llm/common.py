@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,8 +26,11 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and give checkpoint() a shared folder.
 
     ``spark.checkpoint.dir`` wins. Where it is unset, a local master gets a folder of its own,
-    and a cluster one in the warehouse, which all executors share.
+    and a cluster one in the warehouse, which all executors share. Arrow batches get a limit of
+    bytes in place of Spark's much larger one: whole texts are long.
     """
+    if spark.conf.get(BATCH, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     env = context.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
