@@ -21,6 +21,18 @@ def delayed(frames: DataFrame, capacity: int, value: str, stream: str = "stream_
     return frames.withColumn("tail", F.lag(value, capacity - 1).over(W.partitionBy(stream).orderBy(frame)))
 
 
+def ring(frames: DataFrame, capacity: int, value: str, stream: str = "stream_id", frame: str = "frame_idx") -> DataFrame:
+    """Each frame with what a ring of ``capacity`` holds once it is pushed: its number, how many there are, and the values at head and tail.
+
+    The head is the newest, that a peek sees; the tail the oldest, that a pop takes, null until the ring is full.
+    """
+    if capacity < 1:
+        raise ValueError("capacity must be at least 1")
+    order = W.partitionBy(stream).orderBy(frame)
+    number = F.row_number().over(order)
+    return frames.select("*", (number - 1).cast("long").alias("number"), F.least(number, F.lit(capacity)).alias("held"), F.col(value).alias("head"), F.lag(value, capacity - 1).over(order).alias("tail"))
+
+
 def newest(frames: DataFrame, value: str, stream: str = "stream_id", frame: str = "frame_idx") -> DataFrame:
     return frames.groupBy(stream).agg(F.max(frame).alias(frame), F.max_by(value, frame).alias(value))
 

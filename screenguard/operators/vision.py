@@ -47,5 +47,5 @@ def suppress(detections: DataFrame, overlap: float = OVERLAP, keys: tuple[str, .
     item = F.struct((-F.col("confidence")).alias("n"), order, "confidence", *BOX, *rest)
     each = detections.groupBy(*keys, "class").agg(F.array_sort(F.collect_list(item)).alias("all"))
     kind = each.schema["all"].dataType.simpleString()
-    kept = F.aggregate("all", F.array().cast(kind), lambda kept, c: F.when(F.exists(kept, lambda k: iou(k, c) > f32(overlap)), kept).otherwise(F.concat(kept, F.array(c))))
+    kept = F.aggregate("all", F.array().cast(kind), lambda kept, c: F.when(F.exists(kept, lambda k: iou(k, c) > f32(overlap)), kept).otherwise(F.array_append(kept, c)))
     return each.select(*keys, "class", F.explode(kept).alias("k")).select(*keys, "class", "k.*").drop("n")

@@ -200,6 +200,7 @@ ORACLE: dict[str, str] = {
     "st06_gate": f"{GATE} select stream_id, frame_idx, sampled, changed, should_ocr, consecutive_skips from g",
     "a08_running_counts": f"{GATE} select stream_id, frame_idx, sum(should_ocr::int) over o::bigint as ocr_count, sum((not should_ocr)::int) over o::bigint as ocr_skipped from g window o as (partition by stream_id order by frame_idx rows unbounded preceding)",
     "w02_sampled_frames": "select event_id from events where event_id % 3 = 0",
+    "st05_ring": f"select stream_id, frame_idx, n - 1 as number, least(n, 4)::int as held, x as head, case when n >= 4 then t end as tail from (select *, row_number() over o as n, lag(x, 3) over o as t from {fx('sticky_hits')} window o as (partition by stream_id order by frame_idx))",
     "w03_delay_line": f"select stream_id, frame_idx, x, lag(x, 2) over (partition by stream_id order by frame_idx) as tail from {fx('sticky_hits')}",
     "w04_key_edges": "select event_id from (select event_id, event_type in ('click', 'view') as d, lag(event_type in ('click', 'view')) over (partition by user_id order by ts, event_id) as p from events) where d and not coalesce(p, false)",
     "l03_newest_frames": f"select stream_id, max(frame_idx) as frame_idx, max_by(x, frame_idx) as x from {fx('sticky_hits')} group by stream_id",

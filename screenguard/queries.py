@@ -334,6 +334,12 @@ def w03_delay_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.delayed(hits, 3, "x")
 
 
+@query
+def st05_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fixture(spark, sf_dir, "sticky_hits").select("stream_id", "frame_idx", "x")
+    return series.ring(hits, 4, "x").drop("x")
+
+
 @query
 def w04_key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "events").withColumn("down", F.col("event_type").isin("click", "view"))

@@ -46,6 +46,19 @@ def encoded_frames(frames: DataFrame) -> DataFrame:
     return frames.select("stream_id", frame_name(F.col("frame_idx")).alias("name"), "width", "height", "bgra").mapInArrow(run, "stream_id bigint, name string, png binary")
 
 
+def write_frames(frames: DataFrame, path: str):
+    """A recorded sequence as a table of PNG files (stream_id, name, png) under ``path``.
+
+    Of a stream every trigger's files go to a folder of its own, written anew if the trigger
+    is run again, so that each frame is there once; gives the writer, to be started.
+    """
+    files = encoded_frames(frames)
+    if not frames.isStreaming:
+        files.write.mode("overwrite").partitionBy("stream_id").parquet(path)
+        return None
+    return files.writeStream.foreachBatch(lambda d, k: d.write.mode("overwrite").parquet(f"{path}/trigger={k}"))
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """(image, label) as text, a folder an image, a line a label."""
     labels.select("image", label_line(F.col("label")).alias("value")).write.mode("overwrite").partitionBy("image").text(path)

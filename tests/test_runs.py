@@ -179,6 +179,29 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["stem"] for r in readers.images(spark, str(tmp_path / "img")).collect()] == ["a", "b"]
 
 
+def test_live_frames(spark, tmp_path):
+    from screenguard.sources import live
+
+    spark.dataSource.register(live.CapturedFrames)
+    batch = spark.read.format("captured_frames").options(capture="screenguard.sources.live:test_pattern", streams=2, frames=5).load()
+    assert sorted((r["stream_id"], r["frame_idx"], bytes(r["bgra"])[0]) for r in batch.collect()) == [(s, f, f) for s in range(2) for f in range(5)]
+    frames = spark.readStream.format("captured_frames").options(capture="screenguard.sources.live:test_pattern", streams=2, frames=3).load()
+    q = sinks.write_frames(frames, str(tmp_path / "files")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").start()
+    import time
+
+    end = time.time() + 40
+    while sum(p["numInputRows"] for p in q.recentProgress) < 12 and time.time() < end:
+        time.sleep(0.2)
+    q.stop()
+    done = spark.read.parquet(str(tmp_path / "files")).where("trigger < 2")
+    assert sorted((r["stream_id"], r["name"]) for r in done.collect()) == [(s, f"frame_{f:05d}.png") for s in range(2) for f in range(6)]
+    sinks.write_frames(batch, str(tmp_path / "batch"))
+    assert spark.read.parquet(str(tmp_path / "batch")).count() == 10
+    for bad in ("nowhere", "json:nothing"):
+        with pytest.raises(ValueError):
+            live.capture_function(bad)
+
+
 def test_run_options(spark):
     from screenguard.plans.config import RunConfig
 
