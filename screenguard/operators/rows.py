@@ -43,9 +43,9 @@ def assign_rows(lines: DataFrame, keys: list[str] = FRAME) -> DataFrame:
                       <= greatest(cast(greatest(l.h, r.h) as float) * cast(0.6 as float), cast(6 as float))), true),
               'cy', cast(cast(l.y as float) + cast(l.h as float) / 2 as float))),
             p -> named_struct(
-              'rows', if(p.at = 0, concat(a.rows, array(named_struct('total', p.cy, 'n', 1, 'h', l.h))),
+              'rows', if(p.at = 0, array_append(a.rows, named_struct('total', p.cy, 'n', 1, 'h', l.h)),
                 transform(a.rows, (r, i) -> if(i = p.at - 1, named_struct('total', r.total + p.cy, 'n', r.n + 1, 'h', greatest(r.h, l.h)), r))),
-              'ids', concat(a.ids, array(cast(if(p.at = 0, size(a.rows), p.at - 1) as int)))))[0],
+              'ids', array_append(a.ids, cast(if(p.at = 0, size(a.rows), p.at - 1) as int))))[0],
           a -> a.ids)
     """)
     pairs = frames.select(*keys, F.explode(F.arrays_zip("lines", fold.alias("ids"))).alias("z"))
