@@ -407,12 +407,34 @@ def _frequent(spark: SparkSession, coded: DataFrame, most: int):
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Rows whose first column is their partition, some texts at a time, with a key.
+    """Rows (part, ..., text), some texts of PORTION bytes in all at a time or one longer, with a key.
 
-    The key is the same whenever the same rows are read in the same order.
+    Cuts depend on the rows and their order alone, not on the batches they come in, so the
+    key of a row is the same in every pass.
     """
-    for i, b in enumerate(sliced(batches, "text", PORTION)):
-        yield (b.column(0)[0].as_py() << 32) + i, b
+    held: list[pa.RecordBatch] = []
+    size, number = 0, 0
+
+    def out() -> tuple[int, pa.RecordBatch]:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+        return (b.column(0)[0].as_py() << 32) + number, b
+
+    for b in batches:
+        end = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0), dtype=np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = end[at - 1] if at else 0
+            to = int(np.searchsorted(end, before + PORTION - size, side="right"))
+            to = max(to, at + (not held))
+            if to > at:
+                held.append(b.slice(at, to - at))
+                size += int(end[to - 1] - before)
+                at = to
+            if at < b.num_rows:
+                yield out()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield out()
 
 
 def _rare(cut: Units, known: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -829,6 +829,22 @@ def test_pieces(spark, tmp_path):
             assert list(r["ids"]) == [i for u in pieces.units(texts[r["id"]]) for i in slow_path(u, plain)]
 
 
+def test_slices_dont_depend_on_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(22)
+    sizes = rng.choice([0, 10, 400_000, 1_500_000, 5_000_000], 60, p=[0.2, 0.4, 0.3, 0.07, 0.03])
+    whole = pa.table({"part": np.full(60, 7), "id": np.arange(60), "text": ["x" * int(n) for n in sizes]}).combine_chunks()
+    want = None
+    for n in (60, 1, 7, 13):
+        got = [(key, b["id"].to_pylist()) for key, b in pieces._slices(iter(whole.to_batches(n)))]
+        assert sum((ids for _, ids in got), []) == list(range(60)) and len({key for key, _ in got}) == len(got)
+        assert all(len(ids) == 1 or sum(sizes[i] for i in ids) <= pieces.PORTION for _, ids in got)
+        assert want in (None, got)
+        want = got
+    assert list(pieces._slices(iter([]))) == []
+
+
 def test_pieces_must_not_cross_units(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
