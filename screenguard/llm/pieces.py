@@ -44,6 +44,8 @@ FREQUENT = 400_000
 HELD = 300_000
 #: Bytes of texts that are cut into units together, and travel in one row.
 PORTION = 2_000_000
+#: Units whose ids are put together at a time.
+STEP = 65_536
 UNKNOWN_PENALTY = 10.0
 #: Zipf's offset of ranks, and the charge for each piece.
 ZIPF, CHARGE = 2.7, 3.0
@@ -359,7 +361,7 @@ class Dictionary:
         size = np.fromiter(map(len, names), np.int64, len(names))
         code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
         h = hashes(code, np.cumsum(size) - size, size) if len(code) else np.empty(0, np.uint64)
-        self.hash, self.size, self.start, self.flat = h, np.diff(edge).astype(np.int64), edge[:-1].astype(np.int64), flat
+        self.hash, self.size, self.start, self.flat = h, np.diff(edge).astype(np.int32), edge[:-1].astype(np.int32), flat
         self.slots = np.full(1 << max(4, (4 * len(h)).bit_length()), -1, np.int32)
         left = np.arange(len(h))
         slot = self._slot(h)
@@ -494,20 +496,27 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
             yield pa.record_batch([pa.array([key]), pa.array([-1], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["slice", "number", "body"])
         release()
 
-    def assemble(b: pa.RecordBatch, answers: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    def assemble(b: pa.RecordBatch, answers: tuple[np.ndarray, np.ndarray], back: Decoder) -> pa.RecordBatch:
         """answers: where the ids of each numbered unit begin and end, and the ids."""
-        known, back = common.value, Decoder(by_id)
+        known = common.value
         texts = b.column(1).to_pylist()
         cut = Units(texts)
         at, _, which = _rare(cut, known)
         missing = at < 0
         edge, more = answers
-        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        start[~missing], size[~missing] = known.start[at[~missing]], known.size[at[~missing]]
-        start[missing], size[missing] = len(known.flat) + edge[:-1][which], np.diff(edge)[which]
-        ids = np.concatenate([known.flat, more])[runs(start, size)]
+        start, size = known.start[np.maximum(at, 0)] if len(known.start) else np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        size[~missing] = known.size[at[~missing]]
+        start[missing], size[missing] = edge[:-1][which], np.diff(edge)[which]
+        ids, raw, n = np.empty(int(size.sum()), np.int32), [], 0
+        for i in range(0, len(at), STEP):  # a few units at a time, as indexes take more than what they fetch
+            s, k, rare = start[i : i + STEP], size[i : i + STEP], missing[i : i + STEP]
+            place, asked = runs(s, k), np.repeat(rare, k)
+            part = ids[n : n + len(place)]
+            part[~asked], part[asked] = known.flat[place[~asked]], more[place[asked]]
+            raw.append(back.raw(part))
+            n += len(place)
         total = np.append(0, np.cumsum(size))[cut.first]  # of ids before each text
-        if back.raw(ids) == cut.joined.encode("utf-8", "surrogatepass"):
+        if b"".join(raw) == cut.joined.encode("utf-8", "surrogatepass"):
             same = [SPACE not in (t or "") for t in texts]
         else:
             same = [back.text(ids[s:e]) == (t or "") for s, e, t in zip(total[:-1], total[1:], texts, strict=True)]
@@ -515,11 +524,14 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by slice, its texts (number -1) before its answers."""
-        unpack, now, held, sizes, ids = zstandard.ZstdDecompressor(), None, None, [], []
+        unpack, back, now, held, sizes, ids = zstandard.ZstdDecompressor(), Decoder(by_id), None, None, [], []
 
         def out() -> pa.RecordBatch:
             edge = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
-            return assemble(held, (edge, np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            try:
+                return assemble(held, (edge, np.concatenate(ids) if ids else np.empty(0, np.int32)), back)
+            finally:
+                release()
 
         for b in batches:
             key, number = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -542,8 +554,9 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
         release()
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = Decoder(by_id)
         for b in sliced(batches, "text", PORTION):
-            yield assemble(b, (np.zeros(1, np.int64), np.empty(0, np.int32)))
+            yield assemble(b, (np.zeros(1, np.int64), np.empty(0, np.int32)), back)
         release()
 
     schema = f"id {kind}, n_tokens long, ids array<int>, roundtrip boolean"
