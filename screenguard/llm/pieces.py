@@ -225,7 +225,7 @@ class Decoder:
 # ---- the dictionary of units ----------------------------------------------------------
 
 
-def unit_counts(docs: DataFrame) -> DataFrame:
+def unit_counts(docs: DataFrame, portion: int = PORTION) -> DataFrame:
     """docs (text) -> (unit, n, size): every distinct unit, how often it stands in all texts, and its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def unit_counts(docs: DataFrame) -> DataFrame:
             units = units.take(order)
             return pa.record_batch([units, pa.array(count).take(order), pc.utf8_length(units).cast(pa.int64())], ["unit", "n", "size"])
 
-        for b in sliced(batches, "text", PORTION):
+        for b in sliced(batches, "text", portion):
             cut = Units(b.column(0).to_pylist())
             h, first, n = distinct(cut.hash)
             at = np.searchsorted(seen, h)
@@ -408,8 +408,8 @@ def _frequent(spark: SparkSession, coded: DataFrame, most: int):
     return spark.sparkContext.broadcast(found), not sizes or least == sizes[-1]["level"]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Rows (part, ..., text), some texts of PORTION bytes in all at a time or one longer, with a key.
+def _slices(batches: Iterator[pa.RecordBatch], portion: int = PORTION) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows (part, ..., text), some texts of ``portion`` bytes in all at a time or one longer, with a key.
 
     Cuts depend on the rows and their order alone, not on the batches they come in, so the
     key of a row is the same in every pass.
@@ -426,7 +426,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
         at = 0
         while at < b.num_rows:
             before = end[at - 1] if at else 0
-            to = int(np.searchsorted(end, before + PORTION - size, side="right"))
+            to = int(np.searchsorted(end, before + portion - size, side="right"))
             to = max(to, at + (not held))
             if to > at:
                 held.append(b.slice(at, to - at))
@@ -447,13 +447,14 @@ def _rare(cut: Units, known: Dictionary) -> tuple[np.ndarray, np.ndarray, np.nda
     return at, missing[first], np.searchsorted(h, cut.hash[missing])
 
 
-def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, portion: int = PORTION) -> DataFrame:
     """(id, n_tokens, ids, roundtrip), a row for each row of ``docs``, from whole texts.
 
     Null and empty texts have no ids. roundtrip: whether the decoded ids are the text again,
     which holds for every text without the character U+2581, that decodes to a space. Repeated
     rows and null ids are kept, other columns ignored; no rows give no rows. A text of any
-    length is encoded as a whole; a task holds one text, or some of PORTION characters in all.
+    length is encoded as a whole; a task holds one text, or some
+    of ``portion`` bytes in all: less takes less memory and asks more often for the same units.
 
     Texts travel once, some megabytes to a row, compressed; the units that the broadcast
     dictionary lacks are asked for once in each such row, by number, and the answers meet the
@@ -467,7 +468,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if d._jdf.queryExecution().toRdd().outputDeterministicLevel().toString() != "DETERMINATE":
         d = stored(d)
-    found = stored(unit_counts(d))
+    found = stored(unit_counts(d, portion))
     reclaim(spark)
     coded = stored(segment(found, model))
     discard(found)
@@ -478,7 +479,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each slice the units that must be joined, by number."""
         known = common.value
-        for key, b in _slices(batches):
+        for key, b in _slices(batches, portion):
             cut = Units(b.column(1).to_pylist())
             _, first, _ = _rare(cut, known)
             if len(first):
@@ -489,7 +490,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each slice's rows as one row."""
         press = zstandard.ZstdCompressor(level=5)
-        for key, b in _slices(batches):
+        for key, b in _slices(batches, portion):
             b, sink = b.select([1, 2]), pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as out:
                 out.write_batch(b)
@@ -555,7 +556,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, id_col: str = "doc_
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = Decoder(by_id)
-        for b in sliced(batches, "text", PORTION):
+        for b in sliced(batches, "text", portion):
             yield assemble(b, (np.zeros(1, np.int64), np.empty(0, np.int32)), back)
         release()
 
