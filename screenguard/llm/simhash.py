@@ -10,6 +10,7 @@ soon as the sum passes the limit. So it visits only the parts that may hold a ma
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,8 @@ class GrayIndex:
     """Gray-ordered fingerprints under nodes of shared masked bits, and a union-find over them."""
 
     def __init__(self, fp: np.ndarray):
-        self.fp = fp[_gray_order(fp)]
+        self.order = _gray_order(fp)
+        self.fp = fp[self.order]
         self.parent = np.arange(len(fp))
         self.levels = _levels(self.fp, self.fp)
 
@@ -280,6 +282,8 @@ BANDS, MINIMA = 8, 3
 BINS = 1024
 #: Chance that two full bins are equal by accident.
 ALIKE = 1 / 255
+#: Differing bits of fingerprints that the index over the whole table looks for.
+BITS = 3
 #: Members of a key that are compared in one block at least.
 MEMBERS = 512
 _SALTS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -297,12 +301,36 @@ def sketch(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def linked(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def reach(similarity: float) -> int:
+    """Bits within which fingerprints of texts alike by ``similarity`` are, but for one in a million.
+
+    Of distinct shingles a bit differs by the angle between the sets; of few shingles, by up to a quarter more.
+    """
+    p = min(0.5, 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    over, bits = 1.0, -1
+    while over > 1e-6:
+        bits += 1
+        over -= comb(64, bits) * p**bits * (1 - p) ** (64 - bits)
+    return bits
+
+
+def near_pairs(fp: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places a < b whose fingerprints differ in at most ``limit`` bits, in portions, by descent through a Gray index."""
+    index = GrayIndex(fp)
+    for i in range(0, len(fp), 256):
+        for who, at in index.matches(fp[i : i + 256], limit):
+            a, b = i + who, index.order[at]
+            yield a[a < b], b[a < b]
+
+
+def linked(rows: np.ndarray, least: float, fp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (places a, b) whose components are those of all pairs of sketches alike by ``least`` or more.
 
-    ``rows`` holds a sketch a row. Each is compared with all later ones that no link has joined
-    to it yet. Those that agree with most others in most bins come first, so that a text
-    with many copies joins them at once; of few rows any order is as fast.
+    ``rows`` holds a sketch a row, ``fp`` their fingerprints. Pairs that the Gray index gives
+    within reach are confirmed first. Then, as the reach loses a pair in a million, each row is
+    compared with all later ones that no link has joined to it yet. Those that agree with most
+    others in most bins come first, so that a text with many copies joins them at once; of few
+    rows any order is as fast.
     """
     common = np.zeros(len(rows), np.int64)
     for column in rows.T if len(rows) > 64 else ():
@@ -310,8 +338,27 @@ def linked(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-common, kind="stable")
     rows = np.ascontiguousarray(rows[order])
     none = np.packbits(rows == 0, axis=1).view(np.uint64)
-    least = ALIKE + least * (1 - ALIKE)
+    limit, least = reach(least), ALIKE + least * (1 - ALIKE)
     group, u, v = np.arange(len(rows)), [], []
+
+    def alike(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        void = np.bitwise_count(none[j] & none[i]).sum(1, dtype=np.int64)
+        same = np.bitwise_count((rows[j] == rows[i]).view(np.uint64)).sum(1, dtype=np.int64) - void
+        return same >= least * (BINS - void)
+
+    for a, b in near_pairs(fp[order], limit) if fp is not None else ():
+        at = 0
+        while at < len(a):
+            apart = at + np.flatnonzero(group[a[at:]] != group[b[at:]])[:1024]
+            if not len(apart):
+                break
+            at = apart[-1] + 1
+            hit = apart[alike(a[apart], b[apart])]
+            for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+                if group[i] != group[j]:
+                    u.append(i)
+                    v.append(j)
+                    group[group == group[j]] = group[i]
     for i in range(len(rows) - 1):
         later = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
         if not len(later):
@@ -320,9 +367,7 @@ def linked(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
             continue
         for k in range(0, len(later), 1024):
             j = later[k : k + 1024]
-            void = np.bitwise_count(none[j] & none[i]).sum(1, dtype=np.int64)
-            same = np.bitwise_count((rows[j] == rows[i]).view(np.uint64)).sum(1, dtype=np.int64) - void
-            j = j[same >= least * (BINS - void)]
+            j = j[alike(i, j)]
             _, first = np.unique(group[j], return_index=True)
             u += [i] * len(first)
             v += j[first].tolist()
@@ -341,10 +386,14 @@ def band_keys(h: np.ndarray) -> list[int]:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, digest, keep): each row's id and text digest; keep marks the one of the smallest id of each group.
 
-    Equal texts are one class. All classes that share a blocking key are compared until links
-    join them: a key's members are dealt into blocks, and each two blocks meet in a cell that
-    gives fewer links than it has members. A link stands if the sketches put the
-    shingles' Jaccard ratio at ``similarity`` or more. Null texts count as empty; all
+    Equal texts are one class, and a class has the SimHash fingerprint of its distinct shingles.
+    The Gray index over all fingerprints gives groups within BITS bits. Texts alike by
+    ``similarity`` may differ in more bits than an index over a whole table can look for, so
+    min-hash keys deal the classes into parts as well. In each group and part the Gray index
+    gives the candidates within reach, until links join them all: members are dealt into
+    blocks, and each two blocks meet in a cell that gives fewer links than it has members. A
+    link stands if the sketches put the shingles' Jaccard ratio at ``similarity`` or more; what
+    the reach leaves out in a part is compared as well. Null texts count as empty; all
     wordless texts are one group. Of a text of any length all shingles count, each once.
     Null ids come last, so that a row with an id is kept where there is one; repeated rows are
     one class; no rows give no rows; other columns are ignored. Texts never travel, only
@@ -356,15 +405,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            h = [shingle_hashes(t.as_py(), words) for t in b.column(2)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([sketch(x) for x in h], pa.binary()), pa.array([band_keys(x) for x in h], pa.list_(pa.int64()))], ["id", "digest", "sketch", "bands"])
+            h = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            fp = np.array([majority_bits(x) for x in h], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array([sketch(x) for x in h], pa.binary()), pa.array([band_keys(x) for x in h], pa.list_(pa.int64()))], ["id", "digest", "fp", "sketch", "bands"])
         release()
 
     rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("id", "digest")
-    found = rows.mapInArrow(features, f"id {kind}, digest string, sketch binary, bands array<long>")
-    classes = stored(found.groupBy("digest").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    keyed = classes.select(F.explode("bands").alias("key"), "digest")
+    found = rows.mapInArrow(features, f"id {kind}, digest string, fp long, sketch binary, bands array<long>")
+    classes = stored(found.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    near = connected_components(hamming_links(classes.select("fp").distinct(), BITS))
+    indexed = classes.join(near, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp")).alias("key"), "digest")
+    keyed = classes.select(F.explode("bands").alias("key"), "digest").union(indexed)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = keyed.join(sizes, "key").withColumn("parts", F.expr(f"ceil(n / greatest({MEMBERS}, 16 * sqrt(n)))")).withColumn("own", F.expr("pmod(xxhash64(digest), parts)"))
     meets = F.expr("if(parts = 1, array(struct(0L as x, 0L as y)), transform(filter(sequence(0L, parts - 1), j -> j <> own), j -> struct(least(own, j) as x, greatest(own, j) as y)))")
@@ -377,7 +429,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         def out() -> list[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             rows = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-            u, v = linked(rows, similarity)
+            u, v = linked(rows, similarity, t["fp"].to_numpy().view(np.uint64))
             return pa.table({"u": t["digest"].take(pa.array(u)), "v": t["digest"].take(pa.array(v))}).combine_chunks().to_batches(1 << 20)
 
         for b in batches:
@@ -396,7 +448,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         held.clear()
         release()
 
-    met = cells.join(classes.select("digest", "sketch"), "digest").select("key", "x", "y", "digest", "sketch")
+    met = cells.join(classes.select("digest", "fp", "sketch"), "digest").select("key", "x", "y", "digest", "fp", "sketch")
     links = met.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(link, "u string, v string")
     comp = connected_components(links)
     grouped = classes.select("digest", "id").join(comp, classes["digest"] == comp["node"], "left").select("digest", "id", F.coalesce("component", "digest").alias("group"))

@@ -602,6 +602,48 @@ def test_links_of_a_cell_are_those_of_all_pairs():
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) < 30
 
 
+def test_near_pairs_are_all_pairs_within_the_limit():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    fp = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(8)), base[:3]])
+    for limit in (0, 2, simhash.reach(0.8)):
+        got = [p for a, b in simhash.near_pairs(fp, limit) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        apart = np.bitwise_count(fp[:, None] ^ fp[None, :])
+        assert sorted(got) == [(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if apart[a, b] <= limit]
+
+
+def test_links_of_a_cell_come_through_the_fingerprints(monkeypatch):
+    texts = [*spread_copies(60, 300), *spread_copies(5, 300, 12), *spread_copies(0, 300, 13), *spread_copies(0, 300, 14)]
+    h = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    rows = np.stack([np.frombuffer(simhash.sketch(x), np.uint8) for x in h])
+    fp = np.array([simhash.majority_bits(x) for x in h], np.uint64)
+
+    def groups(u, v):
+        out = list(range(len(rows)))
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            assert out[a] != out[b]
+            out = [out[b] if x == out[a] else x for x in out]
+        return {frozenset(i for i, y in enumerate(out) if y == x) for x in out}
+
+    want, asked = groups(*simhash.linked(rows, 0.8)), []
+    plain = simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda fp, limit: asked.extend(plain(fp, limit)) or asked)
+    assert groups(*simhash.linked(rows, 0.8, fp)) == want and sum(len(a) for a, _ in asked) >= len(rows) - len(want)
+    # nothing is lost where the index gives nothing
+    monkeypatch.setattr(simhash, "near_pairs", lambda fp, limit: ())
+    assert groups(*simhash.linked(rows, 0.8, fp)) == want
+
+
+def test_the_index_finds_copies_that_share_no_key(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_keys", lambda h: [int(h.sum() >> np.uint64(1))])
+    words = [spread_copies(0, 2000, seed)[0].split() for seed in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:1000], "other", *w[1001:]]) for w in words]
+    fp = [simhash.majority_bits(np.unique(simhash.shingle_hashes(t, 5))) for t in texts]
+    near = [i for i in range(6) if (fp[i] ^ fp[i + 6]).bit_count() <= simhash.BITS]
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs(spark, texts)).collect()}
+    assert len(near) >= 3 and kept == set(range(12)) - {i + 6 for i in near}
+
+
 def borderline(n_groups=60, words=220, seed=21):
     """Texts in chains around a similarity of 0.8: groups of a base and four copies with more and more words changed."""
     rng = np.random.default_rng(seed)
