@@ -417,6 +417,34 @@ def test_licenses_are_told_apart():
     assert found(two) == ["BSD-2-Clause"] and found(three) == ["BSD-3-Clause"] and found(licenses.TEMPLATES["BSD"][0]) == ["BSD"]
 
 
+def test_the_greatest_reduction_wins():
+    # an exact but shorter template inside a longer one that is short of a word
+    for name, k in (("BSD-2-Clause", 1), ("BSD-3-Clause", 2), ("MIT", 3)):
+        text = licenses.TEMPLATES[name][k]
+        got = licenses.scan_text("Some words before. " + text.replace(" PURPOSE", "", 1) + " And after.")
+        assert [(g["license"], g["missing"], g["start"]) for g in got] == [(name, ["purpose"], 19)] and got[0]["end"] > len(text)
+    # of two templates that fit one block, the one that saves more bytes
+    rank = lambda text, i: licenses.judge(" ".join(w.lower() for w in licenses._TOKEN.findall(text)), i)[2]
+    at = {(n, t): i for i, (n, t, _, _) in enumerate(licenses._templates())}
+    whole, opening = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD"][0]
+    assert rank(whole, at["BSD-2-Clause", whole])[0] > rank(whole, at["BSD", opening])[0] > 0
+
+
+def test_the_compression_of_a_block_loses_no_notice():
+    """Every template with words left out or put in, among other words: whatever its wording confirms also saves bytes."""
+    rng = np.random.default_rng(4)
+    for i, (_, _, template, _) in enumerate(licenses._templates()):
+        for _ in range(20):
+            words = [w if w != "{}" else "2024 nobody" for w in template]
+            for _ in range(int(rng.integers(0, 1 + len(words) // 10))):
+                at = int(rng.integers(len(words)))
+                words[at : at + 1] = [[], [words[at], "other"]][int(rng.integers(2))]
+            block = " ".join([*rng.choice(["some", "text", "before", "license", "copyright"], rng.integers(0, 6)), *words, *rng.choice(["and", "after", "warranty"], rng.integers(0, 6))])
+            equal, _, added = licenses.differences(block.split(), template)
+            if equal >= licenses.EQUAL and len(added) <= licenses._extra(template):
+                assert licenses.saved(block, i)[0] > 0, block
+
+
 def test_spans_against_all_windows():
     """Every stretch of words of a text against every template, by edit operations alone."""
     from difflib import SequenceMatcher
